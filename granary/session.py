@@ -8,7 +8,7 @@ import sys
 from pyspark.sql import SparkSession
 
 
-def local_session(cpus: str | int = "*", shuffle_partitions: int = 8, driver_memory: str = "8g", app: str = "granary") -> SparkSession:
+def local_session(cpus: str | int = "*", shuffle_partitions: int = 8, driver_memory: str = "8g", app: str = "granary", conf: dict[str, str] | None = None) -> SparkSession:
     """A single-JVM session with adaptive execution and UTC time."""
     os.environ.setdefault("PYSPARK_PYTHON", sys.executable)
     return (
@@ -20,5 +20,6 @@ def local_session(cpus: str | int = "*", shuffle_partitions: int = 8, driver_mem
         .config("spark.driver.memory", driver_memory)
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
+        .config(map=conf or {})
         .getOrCreate()
     )
