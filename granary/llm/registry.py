@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from granary.llm import embedding_dedup, packing, simhash, token_binary, topk_nra
+from granary.llm import embedding_dedup, packing, simhash, suffix_dedup, token_binary, topk_nra
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -29,12 +29,16 @@ def op7_token_binary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_binary.round_trip(table(spark, sf_dir, "documents"))
 
 
+def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    named = (op1_embedding_dedup, op3_simhash, op5_topk_nra, op7_token_binary, op10_packing)
+    named = (op1_embedding_dedup, op3_simhash, op5_topk_nra, op7_token_binary, op8_suffix_dedup, op10_packing)
     return {f.__name__: f for f in named}
 
 
