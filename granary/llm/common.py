@@ -7,7 +7,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -34,6 +34,17 @@ def shuffle_width(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
 
+def hashed_sample(df: DataFrame, key: str, n: int) -> list[Row]:
+    """About n rows (all, if there are no more), the same ones for the same table: those whose key hashes low.
+
+    Only they reach the driver, 2 * n at most where rows repeat a key.
+    """
+    total = df.count()
+    if total > n:
+        df = df.where(F.xxhash64(key) <= F.lit(int(n / total * 2**64) - 2**63)).limit(2 * n)
+    return sorted(df.collect(), key=lambda r: (r[key] is not None, r[key]))
+
+
 def star_edges(n: int, left: np.ndarray, right: np.ndarray) -> np.ndarray:
     """For each of n local nodes, the smallest local index that it reaches over the links left[i]-right[i].
 

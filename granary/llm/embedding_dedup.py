@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from granary.llm.common import connected_components, map_groups, materialize, star_edges
+from granary.llm.common import connected_components, hashed_sample, map_groups, materialize, star_edges
 
 THRESHOLD = 0.93
 #: Vectors in a block of a cosine product; a task holds two blocks.
@@ -17,7 +17,7 @@ BLOCK = 2048
 #: Vectors that a cell has on average, while there are fewer than MAX_CELLS cells.
 CELL = 16_384
 MAX_CELLS = 1024
-#: Vectors that the centres are fitted on (the ones with the smallest hashes); all vectors are assigned.
+#: About how many vectors the centres are fitted on (the ones with the smallest hashes); all vectors are assigned.
 SAMPLE = 8192
 
 
@@ -124,7 +124,7 @@ def near_duplicates(df: DataFrame, id_col: str = "vec_id", vector: str = "embedd
     good = usable("vec") & F.col("label").isNotNull() & F.col("vec_id").isNotNull()
     classes = materialize(rows.where(good).groupBy("label", "vec").agg(F.min("vec_id").alias("rep"), F.count(F.lit(1)).alias("n")))
     total = classes.count()
-    fitted = [r.vec for r in classes.select("rep", "vec").orderBy(F.xxhash64("rep"), "rep").limit(sample).collect()]
+    fitted = [r.vec for r in hashed_sample(classes.select("rep", "vec"), "rep", sample)]
     centres = None
     if fitted:
         sizes = [len(v) for v in fitted]

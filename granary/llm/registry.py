@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from granary.llm import embedding_dedup, packing, simhash, suffix_dedup, token_binary, topk_nra
+from granary.llm import embedding_dedup, packing, simhash, suffix_dedup, token_binary, topk_nra, toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -25,6 +25,10 @@ def op5_topk_nra(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk_nra.top_k(table(spark, sf_dir, "embeddings"))
 
 
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op7_token_binary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_binary.round_trip(table(spark, sf_dir, "documents"))
 
@@ -38,7 +42,7 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    named = (op1_embedding_dedup, op3_simhash, op5_topk_nra, op7_token_binary, op8_suffix_dedup, op10_packing)
+    named = (op1_embedding_dedup, op3_simhash, op5_topk_nra, op6_toxicity, op7_token_binary, op8_suffix_dedup, op10_packing)
     return {f.__name__: f for f in named}
 
 
