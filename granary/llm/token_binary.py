@@ -14,11 +14,11 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from granary.llm import tokens
-from granary.llm.common import materialize, shuffle_width
+from granary.llm.common import hashed_sample, materialize, shuffle_width
 
 END = 1
 LEVEL = 3
-#: The dictionary is trained on this many documents at most (those with the smallest hashes of doc_id), each up to SAMPLE_IDS ids.
+#: The dictionary is trained on about this many documents (those with the smallest hashes of doc_id), each up to SAMPLE_IDS ids.
 SAMPLE, SAMPLE_IDS = 1000, 4096
 DICTIONARY = 64 * 1024
 #: Bytes of compressed documents in a shard, about.
@@ -143,10 +143,9 @@ def _read(dictionary: bytes):
 
 def dictionary_for(docs: DataFrame, path: str, width: int) -> bytes:
     """The shared dictionary, trained on the documented sample of docs."""
-    rows = docs.select("doc_id", F.substring("text", 1, 8 * SAMPLE_IDS).alias("text")).where("text is not null")
+    rows = docs.select("doc_id", F.substring("text", 1, 8 * SAMPLE_IDS).alias("text")).where("doc_id is not null")
     encode = tokens.encoder(path).encode
-    picked = rows.orderBy(F.xxhash64("doc_id"), "doc_id", "text").limit(SAMPLE).collect()
-    return train([narrow(encode(r.text)[: 4 * SAMPLE_IDS], width) for r in picked if r.text])
+    return train([narrow(encode(r.text)[: 4 * SAMPLE_IDS], width) for r in hashed_sample(rows, "doc_id", SAMPLE) if r.text])
 
 
 def write_shards(docs: DataFrame, path: str | None = None, end: int = END, buckets: int | None = None) -> tuple[DataFrame, bytes]:

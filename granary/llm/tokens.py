@@ -11,9 +11,9 @@ import pyarrow as pa
 from tokenizers import Tokenizer
 
 #: Words whose ids a worker remembers; beyond that the memory is emptied.
-REMEMBERED = 400_000
+REMEMBERED = 1_000_000
 #: What the word pattern of the vocabulary file finds in lower-case text of the plain characters below.
-WORDS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[^\W\d_]+|\d|[^\s\w]+(?:_+[^\s\w]*)*|_+[^\s\w]*(?:_+[^\s\w]*)*")
+WORDS = re.compile(r"[a-zß-öø-ÿĀ-ž]+|'s|'t|'re|'ve|'m|'ll|'d|\d|[^\s\w]+(?:_+[^\s\w]*)*|_+[^\s\w]*(?:_+[^\s\w]*)*")
 #: Text in which Python and the library agree on classes, case and composition: ASCII without odd controls, Latin letters, dashes, quotes and the like.
 PLAIN = re.compile(r"[\t\n\r\x20-\x7e\xa0-\xa9\xab-\xb1\xb4\xb6-\xb8\xbb\xbf-įĲ-ž‐-‧‰-⁞€]*")
 
