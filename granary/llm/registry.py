@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from granary.llm import embedding_dedup, packing, simhash, suffix_dedup, token_binary, topk_nra, toxicity
+from granary.llm import embedding_dedup, html_extract, packing, sentence_pieces, simhash, suffix_dedup, token_binary, topk_nra, toxicity, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -17,10 +17,18 @@ def op1_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embedding_dedup.near_duplicates(table(spark, sf_dir, "embeddings"))
 
 
+def op2_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extract.extract(table(spark, sf_dir, "pages"))
+
+
 def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op4_sentence_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sentence_pieces.round_trip(table(spark, sf_dir, "documents"))
+
+
 def op5_topk_nra(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk_nra.top_k(table(spark, sf_dir, "embeddings"))
 
@@ -37,12 +45,19 @@ def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.round_trip(table(spark, sf_dir, "pages"))
+
+
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    named = (op1_embedding_dedup, op3_simhash, op5_topk_nra, op6_toxicity, op7_token_binary, op8_suffix_dedup, op10_packing)
+    named = (
+        op1_embedding_dedup, op2_html_extract, op3_simhash, op4_sentence_pieces, op5_topk_nra,
+        op6_toxicity, op7_token_binary, op8_suffix_dedup, op9_warc, op10_packing,
+    )
     return {f.__name__: f for f in named}
 
 
