@@ -22,53 +22,64 @@ def quantised(vector: str, scale: int = 256) -> Column:
 
 
 class Lists:
-    """One list a dimension, sorted by component, over a shard's vectors."""
+    """One list a dimension, sorted by component, over a shard's vectors; read from either end."""
 
     def __init__(self, x: np.ndarray):
-        self.x = x
-        self.order = np.argsort(x, axis=0, kind="stable")
-        self.sorted = np.take_along_axis(x, self.order, axis=0)
-
-    def top(self, q: np.ndarray, k: int, skip: int = -1, step: int = 64) -> tuple[np.ndarray, np.ndarray]:
-        """Rows and scores of all that can be among the k best inner products with q, ties included; skip is left out.
-
-        Each list is read from the end where its contributions to the score are largest. A row's lower bound takes the
-        least contribution of each list that it wasn't met in, its upper bound the last one read. Reading stops once no
-        row outside a small set can reach the k-th lower bound; the scores of that set are then completed.
+        self.x = x.astype(np.float64)
+        n, d = x.shape
+        order = np.argsort(self.x, axis=0, kind="stable")
+        self.place = np.empty((n, d), np.int32)
+        np.put_along_axis(self.place, order, np.arange(n, dtype=np.int32)[:, None], axis=0)
+        self.sorted = np.take_along_axis(self.x, order, axis=0)
+
+    def read(self, depth: int) -> tuple[np.ndarray, np.ndarray]:
+        """(upper, lower): what `depth` entries from either end of each list say of each row, for weights to multiply.
+
+        For positive weights (read from the largest) and then negative ones (from the smallest): a row's upper bound is
+        its read components and, for lists that it wasn't met in, the last one read; its lower bound takes the list's
+        last one instead.
+        """
+        n = len(self.x)
+        first, last = self.sorted[0], self.sorted[-1]
+        above, below = self.sorted[n - depth], self.sorted[depth - 1]
+        met_above, met_below = self.place >= n - depth, self.place < depth
+        upper = np.concatenate([np.where(met_above, self.x, above), np.where(met_below, self.x, below)], axis=1)
+        lower = np.concatenate([np.where(met_above, self.x, first), np.where(met_below, self.x, last)], axis=1)
+        return upper, lower
+
+    def top(self, q: np.ndarray, k: int, own: list[tuple[int, int]], rows: int = 256) -> list[tuple[np.ndarray, np.ndarray]]:
+        """For each query, rows and scores of all that can be among its k best inner products, ties included.
+
+        own[i] is the range of rows that query i leaves out. All lists are read to the same depth, for a block of
+        queries together, and twice as deep each time. A query stops once few rows have an upper bound that reaches its
+        k-th lower bound, so that no row outside can qualify; the scores of those few are then completed.
         """
         n = len(self.x)
-        dims = np.flatnonzero(q)
-        if not len(dims):
-            rows = np.setdiff1d(np.arange(n), [skip])
-            return rows, np.zeros(len(rows), np.int64)
-        weight = q[dims].astype(np.float64)
-        order = np.where(weight > 0, self.order[::-1, dims], self.order[:, dims])
-        gains = np.where(weight > 0, self.sorted[::-1, dims], self.sorted[:, dims]) * weight
-        floor = gains[-1]
-        got = np.zeros(n)
-        seen = np.zeros((n, len(dims)), np.float32)
-        columns = np.arange(len(dims))[None, :]
-        at, live = 0, np.ones(n, bool)
-        if skip >= 0:
-            live[skip] = False
-        k = min(k, int(live.sum()))
-        if not k:
-            return np.zeros(0, np.int64), np.zeros(0, np.int64)
-        while at < n:
-            stop = min(n, at + step)
-            rows = order[at:stop]
-            got += np.bincount(rows.ravel(), weights=gains[at:stop].ravel(), minlength=n)
-            seen[rows, columns] = 1
-            last = gains[stop - 1]
-            low = got + floor.sum() - seen @ floor
-            high = got + last.sum() - seen @ last
-            at, step = stop, step * 2
-            bar = np.partition(low[live], -k)[-k]
-            live &= high >= bar - 0.5 - 1e-6 * np.abs(bar)  # the bounds of seen parts are rounded, the scores are not
-            if live.sum() <= max(4 * k, 32):
-                break
-        rows = np.flatnonzero(live)
-        return rows, self.x[rows] @ q
+        out: list[tuple[np.ndarray, np.ndarray]] = [(np.zeros(0, np.int64), np.zeros(0, np.int64))] * len(q)
+        active = np.arange(len(q))
+        depth, few = max(1, n // 8), max(4 * k, n // 8)
+        while len(active):
+            depth = min(n, depth)
+            upper, lower = self.read(depth)
+            going = []
+            for at in range(0, len(active), rows):
+                block = active[at : at + rows]
+                weights = np.concatenate([np.maximum(q[block], 0), np.minimum(q[block], 0)], axis=1).astype(np.float64)
+                high, low = weights @ upper.T, weights @ lower.T
+                for j, i in enumerate(block):
+                    high[j, own[i][0] : own[i][1]] = low[j, own[i][0] : own[i][1]] = -np.inf
+                best = min(k, n)
+                bar = np.partition(low, n - best, axis=1)[:, n - best]
+                fit = (high >= bar[:, None]) & (high > -np.inf)
+                counts = fit.sum(axis=1)
+                for j, i in enumerate(block):
+                    if counts[j] <= few or depth == n:
+                        found = np.flatnonzero(fit[j])
+                        out[i] = (found, (self.x[found] @ q[i]).astype(np.int64))
+                    else:
+                        going.append(i)
+            active, depth = np.array(going, np.int64), depth * 2
+        return out
 
 
 def _search(k: int):
@@ -80,16 +91,12 @@ def _search(k: int):
         if not len(base) or not len(asked):
             return None
         base = base[np.argsort(ids[base], kind="stable")]
-        lists, own = Lists(x[base]), ids[base]
+        names = ids[base]
+        own = list(zip(np.searchsorted(names, ids[asked], "left").tolist(), np.searchsorted(names, ids[asked], "right").tolist(), strict=True))
         out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
-        for i in asked:
-            lo, hi = np.searchsorted(own, ids[i], "left"), np.searchsorted(own, ids[i], "right")
-            # The query's own row is left out; further rows of the same id are the same vector repeated.
-            rows, scores = lists.top(x[i], k + max(0, hi - lo - 1), lo if hi > lo else -1)
-            fit = (rows < lo) | (rows >= hi)
-            rows, scores = rows[fit], scores[fit]
-            best = np.lexsort((own[rows], -scores))[:k]
-            out.append((np.full(len(best), ids[i]), own[rows[best]], scores[best]))
+        for i, (rows, scores) in zip(asked, Lists(x[base]).top(x[asked], k, own), strict=True):
+            best = np.lexsort((names[rows], -scores))[:k]
+            out.append((np.full(len(best), ids[i]), names[rows[best]], scores[best]))
         query, found, score = (np.concatenate(c) for c in zip(*out, strict=True))
         return pa.table({"query_id": query, "vec_id": found, "score": score.astype(np.int64)})
 
