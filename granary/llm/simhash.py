@@ -8,7 +8,7 @@ from itertools import product
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from granary.llm.common import connected_components, map_groups, materialize, star_edges
@@ -136,3 +136,16 @@ def near_duplicates(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
     named = classes.join(components.withColumnRenamed("node", "rep"), "rep", "left").select("fp", F.coalesce("component", "rep").alias("component_id"))
     hexed = F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint")
     return prints.join(named, "fp", "left").select("doc_id", hexed, F.when(F.col("doc_id").isNotNull(), F.col("component_id")).alias("component_id"))
+
+
+def one_of_each(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
+    """The rows of docs, all their columns as they are, but of each near-duplicate group only the smallest doc_id.
+
+    Of rows that repeat that doc_id the first by text stays. Rows without a doc_id all stay.
+    """
+    kept = near_duplicates(docs, radius).where("doc_id = component_id").select("doc_id").distinct()
+    out = docs.join(kept, "doc_id", "left_semi")
+    if not docs.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").isEmpty():
+        number = F.row_number().over(Window.partitionBy("doc_id").orderBy("text"))
+        out = out.withColumn("_number", number).where("_number = 1").drop("_number")
+    return out.unionByName(docs.where("doc_id is null"))

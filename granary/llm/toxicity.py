@@ -26,6 +26,8 @@ WORD_DIM, CHAR_DIM, FILTERS, WIDTH, HIDDEN, ATTEND = 12, 8, 16, 5, 8, 8
 EPOCHS, BATCH, RATE = 7, 64, 0.01
 REMEMBERED = 200_000
 SEED = 11
+#: Column that a score is put in.
+SCORE = "_toxicity"
 
 
 def words_of(text: str | None) -> list[str]:
@@ -322,16 +324,20 @@ def _score(net: Network):
             if docs:
                 scores.append(scorer.score(docs))
             out = np.concatenate(scores) if scores else np.zeros(0)
-            names = [n for n in batch.schema.names if n != "_toxic_text"]
-            yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in names), pa.array(out)], [*names, "score"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out)], [*batch.schema.names, SCORE])
 
     return score
 
 
 def scored(docs: DataFrame, net: Network) -> DataFrame:
-    """docs (doc_id, text and any others) with score: the largest over all windows of the whole text, between 0 and 1."""
+    """docs (text and any other columns) with SCORE: the largest over all windows of the whole text, between 0 and 1."""
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
-    return docs.mapInArrow(_score(net), f"{fields}, score double")
+    return docs.mapInArrow(_score(net), f"{fields}, {SCORE} double")
+
+
+def without_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """The rows of docs, all their columns as they are, whose score is under 0.5."""
+    return scored(docs, fit(docs, labels)).where(F.col(SCORE) < 0.5).drop(SCORE)
 
 
 def toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
@@ -343,4 +349,4 @@ def toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """
     net = fit(docs, labels)
     rows = scored(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")), net)
-    return rows.select("doc_id", held_out("doc_id").alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+    return rows.select("doc_id", held_out("doc_id").alias("held_out"), F.col(SCORE).alias("score"), (F.col(SCORE) >= 0.5).cast("int").alias("predicted"))

@@ -96,7 +96,7 @@ def response(key: str, url: str, html: bytes, date: str = DATE) -> Record:
     fields = [
         ("WARC-Type", "response"), ("WARC-Record-ID", record_id("response", key, url, hashlib.sha256(html).hexdigest())), ("WARC-Date", date),
         ("WARC-Target-URI", field_value(url)), ("WARC-Payload-Digest", digest(html)), ("WARC-Block-Digest", digest(http)),
-        ("Content-Type", "application/http; msgtype=response"), ("Content-Length", str(len(http))),
+        ("WARC-X-Page-ID", key), ("Content-Type", "application/http; msgtype=response"), ("Content-Length", str(len(http))),
     ]
     return Record(fields, http)
 
@@ -111,7 +111,7 @@ def plain_text(html: str) -> str:
 def derive(source: Record) -> tuple[Record, Record]:
     """(metadata, conversion) of a response, both referring to it and linked to each other.
 
-    Both keep the source's target URI and date, and the digest of its payload; the metadata record also has the source's
+    Both keep the source's target URI and date, and the digest of its payload and the page's id; the metadata record also has the source's
     HTTP status and headers, title, language and outgoing links. A payload whose digest isn't the recorded one is refused.
     """
     status, headers, payload = split_http(source.block)
@@ -129,11 +129,13 @@ def derive(source: Record) -> tuple[Record, Record]:
     about = "".join(f"{k}: {v}\r\n" for k, v in facts).encode()
     ids = {kind: record_id(kind, own) for kind in ("metadata", "conversion")}
 
+    kept = [("WARC-X-Page-ID", page)] if (page := source.get("WARC-X-Page-ID")) else []
+
     def build(kind: str, other: str, content: str, block: bytes) -> Record:
         fields = [
             ("WARC-Type", kind), ("WARC-Record-ID", ids[kind]), ("WARC-Date", date), ("WARC-Target-URI", uri), ("WARC-Refers-To", own),
             ("WARC-Refers-To-Target-URI", uri), ("WARC-Refers-To-Date", date), ("WARC-Concurrent-To", ids[other]),
-            ("WARC-Source-Payload-Digest", digest(payload)), ("WARC-Block-Digest", digest(block)), ("Content-Type", content), ("Content-Length", str(len(block))),
+            ("WARC-Source-Payload-Digest", digest(payload)), ("WARC-Block-Digest", digest(block)), *kept, ("Content-Type", content), ("Content-Length", str(len(block))),
         ]
         return Record(fields, block)
 
@@ -233,13 +235,14 @@ def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             if record.get("WARC-Block-Digest") != digest(record.block):
                 raise ValueError("a block doesn't match its digest")
             get = lambda n, r=record: r.get(n)
-            rows.append((get("WARC-Record-ID"), get("WARC-Type"), get("WARC-Refers-To"), get("WARC-Target-URI"), get("WARC-Concurrent-To"), get("WARC-Source-Payload-Digest"), get("WARC-Block-Digest"), len(record.block), zlib.crc32(record.dump())))
-        columns = list(zip(*rows, strict=True)) if rows else [()] * 9
-        kinds = [pa.string()] * 7 + [pa.int64()] * 2
+            page = get("WARC-X-Page-ID") or ""
+            rows.append((int(page) if page.lstrip("-").isdigit() else None, get("WARC-Record-ID"), get("WARC-Type"), get("WARC-Refers-To"), get("WARC-Target-URI"), get("WARC-Concurrent-To"), get("WARC-Source-Payload-Digest"), get("WARC-Block-Digest"), len(record.block), zlib.crc32(record.dump())))
+        columns = list(zip(*rows, strict=True)) if rows else [()] * 10
+        kinds = [pa.int64()] + [pa.string()] * 7 + [pa.int64()] * 2
         yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], [f.split()[0] for f in DIGESTS.split(", ")])
 
 
-DIGESTS = "record_id string, type string, refers_to string, target_uri string, concurrent_to string, payload_digest string, block_digest string, content_length long, record_crc32 long"
+DIGESTS = "page_id long, record_id string, type string, refers_to string, target_uri string, concurrent_to string, payload_digest string, block_digest string, content_length long, record_crc32 long"
 
 
 def round_trip(pages: DataFrame) -> DataFrame:
