@@ -18,9 +18,11 @@ LENGTH = 100
 GRAM = 32
 WINDOW = LENGTH - GRAM + 1
 #: Bytes of text that a task scans at once and within which it combines equal contexts.
-CHUNK = 32 << 20
+CHUNK = 12 << 20
 #: Windows whose anchors are found in one go.
 STRIDE = 1 << 18
+#: Contexts that are compared or sent out at once, about.
+SLICE = 1 << 16
 #: A context is the text of consecutive windows that share an anchor, never longer than this.
 CONTEXT = LENGTH + WINDOW - 1
 
@@ -191,6 +193,16 @@ def later_copies(records: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.
     return order[first], order[~first]
 
 
+def sliced(hashes: np.ndarray) -> Iterator[slice]:
+    """Slices of about SLICE sorted hashes, none of which is in two slices."""
+    at = 0
+    while at < len(hashes):
+        stop = min(at + SLICE, len(hashes))
+        stop = int(np.searchsorted(hashes, hashes[stop - 1], "right"))
+        yield slice(at, stop)
+        at = stop
+
+
 def _spans(records: np.ndarray) -> np.ndarray:
     out = np.zeros(len(records), SPAN)
     out["doc"], out["copy"], out["lo"] = records["doc"], records["copy"], records["lo"]
@@ -254,26 +266,23 @@ def _scan(buckets: int):
         if len(text) < LENGTH:
             return None
         begin = np.cumsum(size) - size
-        valid = np.zeros(len(text) - LENGTH + 1, bool)
-        edge = np.zeros(len(text) + 1, np.int32)
-        some = size >= LENGTH
-        np.add.at(edge, begin[some], 1)
-        np.add.at(edge, (begin + size)[some] - LENGTH + 1, -1)
-        valid = np.cumsum(edge)[: len(valid)] > 0
+        valid = np.ones(len(text) - LENGTH + 1, bool)
+        for stop in (begin + size)[:-1].tolist():
+            valid[stop - LENGTH + 1 : stop] = False
         lo, hi, anchor, h = anchors(text, valid)
         owner = np.searchsorted(begin, lo, "right") - 1
-        # Empty texts share their begin with the next one; the last of them that begins there owns the bytes.
         records = np.zeros(len(lo), RECORD)
         records["hash"], records["doc"], records["copy"] = h, np.array(docs, np.int64)[owner], np.array(copies, np.int32)[owner]
         records["lo"], records["anchor"], records["span"] = lo - begin[owner], anchor - lo, hi - lo
         order = np.argsort(h, kind="stable")
         same = h[order][1:] == h[order][:-1]
         twice = order[np.append(same, False) | np.append(False, same)]
-        spans = np.zeros(0, SPAN)
-        if len(twice):
-            _, drop = later_copies(records[twice], contexts(text, lo[twice], (hi - lo)[twice]))
-            spans = _spans(records[twice[drop]])
-            records = np.delete(records, twice[drop])
+        gone = []
+        for part in sliced(h[twice]):
+            at = twice[part]
+            gone.append(at[later_copies(records[at], contexts(text, lo[at], (hi - lo)[at]))[1]])
+        gone = np.concatenate(gone) if gone else np.zeros(0, np.int64)
+        spans, records = _spans(records[gone]), np.delete(records, gone)
         out = []
         for kind, rows, key in ((0, records, records["hash"]), (1, spans, spans["doc"].view(np.uint64))):
             bucket = (key * _MIX >> np.uint64(33)) % np.uint64(buckets)
@@ -329,11 +338,19 @@ def _contexts(buckets: int):
     """The anchors' contexts by bucket of their hash, with the text that they are in; spans as they come."""
 
     def take(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[tuple[int, int], list[bytes]] = {}
+        waiting = 0
+
+        def flush() -> pa.RecordBatch:
+            keys = list(held)
+            columns = [pa.array([k[0] for k in keys], pa.int32()), pa.array([k[1] for k in keys], pa.int32()), pa.array([b"".join(held[k]) for k in keys], pa.binary())]
+            return pa.RecordBatch.from_arrays(columns, ["bucket", "kind", "data"])
+
         for batch in batches:
-            held: dict[tuple[int, int], list[bytes]] = {}
             for doc, copy, text, anchored, spans in zip(
-                batch.column("doc_id").to_pylist(), batch.column("copy").to_pylist(), batch.column("text").cast(pa.large_binary()), batch.column("anchored").to_pylist(), batch.column("spans").to_pylist(), strict=True
+                batch.column("doc_id").to_pylist(), batch.column("copy").to_pylist(), batch.column("text").cast(pa.large_binary()), batch.column("anchored"), batch.column("spans"), strict=True
             ):
+                anchored, spans = anchored.as_py(), spans.as_py()
                 if anchored:
                     raw = np.frombuffer(text.as_buffer(), np.uint8)
                     records = np.frombuffer(b"".join(anchored), RECORD)
@@ -348,10 +365,12 @@ def _contexts(buckets: int):
                     out = np.zeros(len(pairs), SPAN)
                     out["doc"], out["copy"], out["lo"], out["hi"] = doc, copy, pairs["lo"], pairs["hi"]
                     held.setdefault((doc % buckets, 1), []).append(out.tobytes())
-            if held:
-                keys = list(held)
-                columns = [pa.array([k[0] for k in keys], pa.int32()), pa.array([k[1] for k in keys], pa.int32()), pa.array([b"".join(held[k]) for k in keys], pa.binary())]
-                yield pa.RecordBatch.from_arrays(columns, ["bucket", "kind", "data"])
+                waiting += len(spans) + (len(records) if anchored else 0)
+                if waiting >= SLICE:
+                    yield flush()
+                    held, waiting = {}, 0
+        if held:
+            yield flush()
 
     return take
 
@@ -369,7 +388,10 @@ def _compared(table: pa.Table) -> pa.Table:
             at += width + LENGTH + int(flat[at + width - 1])
         begin = np.array(starts, np.int64)
         records = np.ascontiguousarray(flat[begin[:, None] + np.arange(width)]).view(RECORD).ravel()
-        spans.append(repeated_spans(records, contexts(flat, begin + width, records["span"])))
+        order = np.argsort(records["hash"], kind="stable")
+        begin, records = begin[order], records[order]
+        for part in sliced(records["hash"]):
+            spans.append(repeated_spans(records[part], contexts(flat, begin[part] + width, records["span"][part])))
     return _by_document(np.concatenate(spans))
 
 
