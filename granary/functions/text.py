@@ -9,6 +9,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 # The result of an exact search depends on them.
 EXACT_STOP_WORDS = [
@@ -20,7 +21,7 @@ SLUG_MAX = 60
 SHELL_CHARS = 20
 
 #: Unicode white space as Python's str.split() sees it, for Java's engine.
-SPACE = r"[\s\u001c-\u001f\u0085   -     　]"
+SPACE = r"[\s\u001c-\u001f\u0085\u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]"
 WORD = r"[\p{L}\p{N}_]+"
 ENTITY = r"&#?[\p{L}\p{N}_]+;"
 SHORTCODE = r"\{\{%[^%]*%\}\}"
@@ -46,7 +47,7 @@ def squeeze(text: str) -> str:
     return re.sub(r"\n{3,}", "\n\n", "\n".join(lines)).strip()
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def normalize_text(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
     """Words broken at a hyphen joined, compatibility composition, blanks squeezed after the indent, blank lines limited.
 
