@@ -7,7 +7,6 @@ import zlib
 from collections.abc import Iterator
 from functools import lru_cache
 
-import ahocorasick
 import numpy as np
 import pyarrow as pa
 import sentencepiece
@@ -18,7 +17,9 @@ from pyspark.sql import functions as F
 THETA = 1.0
 SEED = 5
 #: Stretches that a worker remembers the lattice of; longer ones than LONG characters are not remembered.
-REMEMBERED, LONG = 400_000, 256
+REMEMBERED, LONG = 200_000, 256
+#: Stretches whose lattices are built at once.
+LEARN = 20_000
 #: Characters that are segmented at once.
 CHARS = 500_000
 
@@ -38,6 +39,62 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+class Trie:
+    """Pieces by their characters, for walking from all places of a text at once."""
+
+    def __init__(self, pieces: list[tuple[str, int]]):
+        nodes: dict[tuple[int, str], int] = {}
+        found = {}
+        for text, i in pieces:
+            node = 0
+            for c in text:
+                node = nodes.setdefault((node, c), len(nodes) + 1)
+            found[node] = i
+        self.longest = max((len(t) for t, _ in pieces), default=0)
+        self.piece = np.full(len(nodes) + 1, -1, np.int32)
+        self.piece[list(found)] = list(found.values())
+        bits = max(4, (4 * len(nodes)).bit_length())
+        self.shift = np.uint64(64 - bits)
+        self.keys, self.next = np.zeros((1 << bits) + 64, np.uint64), np.zeros((1 << bits) + 64, np.int32)
+        for (node, c), to in nodes.items():
+            key = (node << 21 | ord(c)) + 1
+            slot = ((key * int(_GOLDEN)) & (2**64 - 1)) >> int(self.shift)
+            while self.keys[slot]:
+                slot += 1
+            self.keys[slot], self.next[slot] = key, to
+
+    def follow(self, node: np.ndarray, code: np.ndarray) -> np.ndarray:
+        """The node after each one's next character, or 0."""
+        key = (node.astype(np.uint64) << np.uint64(21) | code) + np.uint64(1)
+        slot = (key * _GOLDEN >> self.shift).astype(np.int64)
+        out = np.zeros(len(key), np.int32)
+        todo = np.arange(len(key))
+        while len(todo):
+            met = self.keys[slot[todo]]
+            hit = met == key[todo]
+            out[todo[hit]] = self.next[slot[todo[hit]]]
+            todo = todo[~hit & (met != 0)]
+            slot[todo] += 1
+        return out
+
+    def matches(self, codes: np.ndarray, stop: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(start, length, piece) of all pieces in the text; none goes beyond stop[start]."""
+        start, node = np.arange(len(codes)), np.zeros(len(codes), np.int32)
+        out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        for length in range(1, self.longest + 1):
+            node = self.follow(node, codes[start + length - 1])
+            on = node > 0
+            start, node = start[on], node[on]
+            piece = self.piece[node]
+            some = piece >= 0
+            out.append((start[some], np.full(int(some.sum()), length), piece[some]))
+            on = start + length < stop[start]
+            start, node = start[on], node[on]
+            if not len(start):
+                break
+        return tuple(np.concatenate(c) for c in zip(*out, strict=True)) if out else (np.zeros(0, np.int64),) * 3
+
+
 class Pieces:
     """A vocabulary's pieces as text in which a space is a space, with a log weight each.
 
@@ -51,8 +108,6 @@ class Pieces:
         self.bytes: list[bytes] = [b""] * n
         self.byte_ids = np.zeros(256, np.int64)
         self.weight = np.zeros(n)
-        self.automaton = ahocorasick.Automaton()
-        self.single: set[str] = set()
         plain, rank = [], 0
         for i in range(n):
             piece = model.id_to_piece(i)
@@ -67,10 +122,7 @@ class Pieces:
                 raise ValueError("a piece crosses from a word to the next")
             self.bytes[i] = text.encode()
             self.weight[i] = -theta * (np.log(rank + 3) + total)
-            self.automaton.add_word(text, i)
-            if len(text) == 1:
-                self.single.add(text)
-        self.automaton.make_automaton()
+        self.trie = Trie([(text, i) for _, i, text in plain])
         # Marks that no piece has after a letter: before them a word ends for all pieces.
         after = {b for _, _, text in plain for a, b in zip(text, text[1:], strict=False) if a.isalpha()}
         marks = re.escape("".join(c for c in map(chr, range(127)) if c != " " and not c.isalnum() and c not in after))
@@ -98,46 +150,41 @@ class Sampler:
         """Add the lattices of new stretches, with the forward weights turned into thresholds of the edges into each place."""
         p = self.pieces
         size = np.array([len(s) for s in stretches], np.int64)
-        text = "".join(stretches)
-        stop = np.cumsum(size)
-        begin = stop - size
-        found = np.fromiter((x for end, i in p.automaton.iter(text) for x in (end, i)), np.int64).reshape(-1, 2)
-        length = self._lengths()[found[:, 1]]
-        end, start = found[:, 0] + 1, found[:, 0] + 1 - length
+        codes = np.frombuffer("".join(stretches).encode("utf-32-le", "surrogatepass"), "<u4").astype(np.uint64)
         owner = np.repeat(np.arange(len(stretches)), size)
-        inside = start >= begin[owner[found[:, 0]]]
-        end, start, label = end[inside], start[inside], found[inside, 1]
-        weight = p.weight[label]
-        if lone := [i for i, c in enumerate(text) if c not in p.single]:
-            at = np.array(lone, np.int64)
-            code = np.array([ord(text[i]) for i in lone], np.int64)
-            count = np.array([len(text[i].encode("utf-8", "surrogatepass")) for i in lone])
-            end, start = np.append(end, at + 1), np.append(start, at)
+        stop = np.cumsum(size)
+        source, length, label = p.trie.matches(codes, stop[owner])
+        label, weight = label.astype(np.int64), p.weight[label]
+        lone = np.ones(len(codes), bool)
+        lone[source[length == 1]] = False
+        if len(lone := np.flatnonzero(lone)):
+            code = codes[lone].astype(np.int64)
+            count = 1 + (code >= 0x80) + (code >= 0x800) + (code >= 0x10000)
+            source, length = np.append(source, lone), np.append(length, np.ones(len(lone), np.int64))
             label, weight = np.append(label, -1 - code), np.append(weight, count * p.byte_weight)
-        own = owner[start]
-        # A stretch of n characters has n + 1 states.
-        state0 = begin + np.arange(len(stretches))
-        to, source = end - begin[own] + state0[own], start - begin[own]
-        place = end - begin[own]
-        order = np.lexsort((label, source, to, place))
-        to, source, label, weight, own, place = (x[order] for x in (to, source, label, weight, own, place))
-        forward = np.zeros(int(size.sum()) + len(stretches))
+        # A stretch of n characters has n + 1 states; an edge's place is where it ends in the stretch.
+        own = owner[source]
+        state0 = stop - size + np.arange(len(stretches))
+        to = source + own + length
+        place = to - state0[own]
+        order = np.argsort(place << 40 | to << 8 | length)
+        to, length, label, weight, place = (x[order] for x in (to, length, label, weight, place))
+        forward = np.zeros(len(codes) + len(stretches))
         joint = np.empty(len(to))
         cuts = np.searchsorted(place, np.arange(1, int(size.max(initial=0)) + 2))
         for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
-            value = forward[state0[own[a:b]] + source[a:b]] + weight[a:b]
+            value = forward[to[a:b] - length[a:b]] + weight[a:b]
             head = np.flatnonzero(np.append(True, to[a + 1 : b] != to[a : b - 1]))
-            top = np.maximum.reduceat(value, head)
             each = np.diff(np.append(head, b - a))
+            top = np.maximum.reduceat(value, head)
             forward[to[a:b][head]] = top + np.log(np.add.reduceat(np.exp(value - np.repeat(top, each)), head))
             joint[a:b] = value
-        chance = np.exp(joint - forward[to])
-        # The likeliest edge of a state first, so that most draws end there.
-        order = np.lexsort((label, source, -chance.round(9), to))
-        to, source, label, chance = to[order], source[order], label[order], chance[order]
-        states = len(forward)
-        first = np.searchsorted(to, np.arange(states + 1))
-        total = np.cumsum(chance)
+        # A state's longest edge first: it is the likeliest as a rule, so most draws end there.
+        order = np.argsort(to << 8 | 255 - length)
+        to, length, label = to[order], length[order], label[order]
+        total = np.cumsum(np.exp(joint[order] - forward[to]))
+        source = place[order] - length
+        first = np.searchsorted(to, np.arange(len(forward) + 1))
         share = total - np.append(0, total)[first[to]]
         bar = np.minimum(np.round(share * 2.0**24) * 2.0**8, 2.0**32 - 1).astype(np.uint32)
         last = first[1:][first[1:] > first[:-1]] - 1
@@ -148,10 +195,6 @@ class Sampler:
         self.bar, self.source, self.label = np.append(self.bar, bar), np.append(self.source, source.astype(np.int32)), np.append(self.label, label.astype(np.int32))
         self.known.update(zip(stretches, range(base, base + len(stretches)), strict=True))
 
-    @lru_cache(maxsize=1)  # noqa: B019
-    def _lengths(self) -> np.ndarray:
-        return np.array([len(b.decode()) if len(b) > 1 or b < b"\x80" else 1 for b in self.pieces.bytes])
-
     def sample(self, keys: list[int], texts: list[str]) -> list[np.ndarray]:
         """Ids of each text, from a space and the text, drawn in proportion to the product of their weights."""
         stretches = [self.pieces.stretch.findall(" " + t) for t in texts]
@@ -159,8 +202,8 @@ class Sampler:
         if len(self.known) > REMEMBERED or self.first.size > 40 * REMEMBERED:
             self.reset()
         new = sorted(found.difference(self.known))
-        if new:
-            self.learn(new)
+        for i in range(0, len(new), LEARN):
+            self.learn(new[i : i + LEARN])
         flat = np.fromiter((i for s in stretches for i in map(self.known.__getitem__, s)), np.int64)
         counts = np.array([len(s) for s in stretches], np.int64)
         sizes = self.size[flat]
@@ -248,8 +291,9 @@ def encode(docs: DataFrame, path: str | None = None, theta: float = THETA, seed:
 
 def _decode(path: str):
     def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = pieces(path, THETA).bytes
+        table = None
         for batch in batches:
+            table = table or pieces(path, THETA).bytes
             texts = [decode_ids(table, np.frombuffer(x.as_py() or b"", "<u4")) for x in batch.column("ids")]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], [*batch.schema.names, "text"])
 
@@ -270,5 +314,17 @@ def _digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def round_trip(docs: DataFrame, path: str | None = None, theta: float = THETA, seed: int = SEED) -> DataFrame:
-    """(doc_id, n_pieces, ids_crc32, n_bytes, text_crc32) of each row's sampled ids and of the text decoded from them."""
-    return decode(encode(docs, path, theta, seed), path).mapInArrow(_digest, "doc_id long, n_pieces long, ids_crc32 long, n_bytes long, text_crc32 long")
+    """(doc_id, n_pieces, ids_crc32, n_bytes, text_crc32) of each row's sampled ids and of the text decoded from them.
+
+    Encoding and decoding are chained within one Python worker, batch by batch.
+    """
+    path = path or vocabulary()
+    steps = (_encode(path, theta, seed), _decode(path), _digest)
+
+    def chained(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for step in steps:
+            batches = step(batches)
+        return batches
+
+    rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
+    return rows.mapInArrow(chained, "doc_id long, n_pieces long, ids_crc32 long, n_bytes long, text_crc32 long")
