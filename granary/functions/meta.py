@@ -160,19 +160,22 @@ def summarize(issues: Column) -> Column:
 
 
 def real_doc_date(date: Column, lastmod: Column) -> Column:
-    """An ISO date, else day/month/year of lastmod when only one reading is a date, else null."""
-    iso = F.regexp_extract(F.coalesce(date, F.lit("")), r"^\s*([0-9]{4}-[0-9]{2}-[0-9]{2})", 1)
-    part = lambda i: F.regexp_extract(F.coalesce(lastmod, F.lit("")), r"^\s*([0-9]{1,2})/([0-9]{1,2})/([0-9]{4})", i).try_cast("int")
-    a, b, year = part(1), part(2), part(3)
-    made = lambda m, d: F.format_string("%04d-%02d-%02d", year, m, d)
-    read = F.when((a > 12) & (b <= 12), made(b, a)).when((b > 12) & (a <= 12), made(a, b)).when(a == b, made(a, b))
-    return F.when(iso != "", iso).otherwise(read)
-
-
-def project_page(url: Column, fallback: Column) -> Column:
-    """(project, page): first and last part of a URL's path; the fallback is the page where there is no path."""
-    parts = F.filter(F.split(F.regexp_extract(F.coalesce(url, F.lit("")), r"^[^:]+://[^/?#]*([^?#]*)", 1), "/"), lambda p: p != "")
-    return F.struct(F.try_element_at(parts, F.lit(1)).alias("project"), F.coalesce(F.try_element_at(parts, F.lit(-1)), fallback).alias("page"))
+    """A year-month-day date, else day/month/year of lastmod where one of the first two can only be a day, else empty."""
+    of = lambda column, pattern, i: F.regexp_extract(F.trim(F.coalesce(column, F.lit(""))), pattern, i).try_cast("int")
+    iso, local = r"^([0-9]{4})[-/.]([0-9]{1,2})[-/.]([0-9]{1,2})$", r"^([0-9]{1,2})/([0-9]{1,2})/([0-9]{4})"
+    y, m, d = (of(date, iso, i) for i in (1, 2, 3))
+    a, b, year = (of(lastmod, local, i) for i in (1, 2, 3))
+    made = lambda y, m, d: F.format_string("%04d-%02d-%02d", y, m, d)
+    return F.when(y.isNotNull(), made(y, m, d)).when(a > 12, made(year, b, a)).when(b > 12, made(year, a, b)).otherwise("")
+
+
+def project_page(url: Column, source_id: Column) -> Column:
+    """(project, page): the first part of a URL's path and the others, if there are two or more, else of the source id."""
+    parts = F.filter(F.split(F.regexp_extract(F.coalesce(url, F.lit("")), r"^https?://[^/]+/(.+)$", 1), "/"), lambda p: p != "")
+    by_id = F.coalesce(source_id, F.lit("")).contains("/")
+    project = F.when(F.size(parts) >= 2, F.try_element_at(parts, F.lit(1))).when(by_id, F.substring_index(source_id, "/", 1)).otherwise("")
+    page = F.when(F.size(parts) >= 2, F.array_join(F.slice(parts, 2, 1 << 30), "/")).when(by_id, F.substring(source_id, F.instr(source_id, "/") + 1, F.length(source_id))).otherwise("")
+    return F.struct(project.alias("project"), page.alias("page"))
 
 
 def nested(json: Column, path: str) -> Column:

@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 
 from granary.functions import images, meta
 from granary.functions import text as T
-from granary.operators import chunking, filters, governance, headers, incremental, ingest, retrieval, terms
+from granary.functions.embedding import embedded
+from granary.operators import chunking, filters, frontmatter, governance, headers, incremental, ingest, retrieval, terms
 from granary.plans.corpus import AS_OF, BARE, CORPUS, RECENCY, RERANK, SEARCH, SPACES, TRUST, WORDS, corpus, requests, table, vectors
 from granary.streaming.ingest import windowed_counts
 
@@ -190,9 +191,54 @@ def doc_type_case(s, d):
     return p.select("page_id", meta.doc_type(F.col("url"), F.col("html")).alias("doc_type"), meta.product(F.col("url"), F.col("html")).alias("product"))
 
 
-@query("""SELECT page_id, p[1] AS project, coalesce(p[-1], CAST(page_id AS VARCHAR)) AS page FROM (SELECT page_id, list_filter(string_split(regexp_extract(url, '^[^:]+://[^/?#]*([^?#]*)', 1), '/'), lambda x: x <> '') AS p FROM pages)""")
+@query("""SELECT page_id, CASE WHEN len(p) >= 2 THEN p[1] ELSE 'page' END AS project, CASE WHEN len(p) >= 2 THEN array_to_string(p[2:], '/') ELSE CAST(page_id AS VARCHAR) END AS page
+FROM (SELECT page_id, list_filter(string_split(regexp_extract(url, '^https?://[^/]+/(.+)$', 1), '/'), lambda x: x <> '') AS p FROM pages)""")
 def url_project_page(s, d):
-    return table(s, d, "pages").select("page_id", meta.project_page(F.col("url"), F.col("page_id").cast("string")).alias("x")).select("page_id", "x.project", "x.page")
+    return table(s, d, "pages").select("page_id", meta.project_page(F.col("url"), F.concat(F.lit("page/"), "page_id")).alias("x")).select("page_id", "x.project", "x.page")
+
+
+@query("""SELECT o_orderkey AS id, CASE WHEN o_orderkey % 3 = 0 THEN strftime(o_orderdate, '%Y-%m-%d') WHEN day(o_orderdate) > 12 THEN strftime(o_orderdate, '%Y-%m-%d') ELSE '' END AS day FROM orders""")
+def real_doc_date(s, d):
+    o = table(s, d, "orders")
+    iso = F.when(F.col("o_orderkey") % 3 == 0, F.date_format("o_orderdate", "yyyy.M.d"))
+    return o.select(F.col("o_orderkey").alias("id"), meta.real_doc_date(iso, F.date_format("o_orderdate", "dd/MM/yyyy HH:mm")).alias("day"))
+
+
+@query("SELECT doc_id, '---' || chr(10) || 'doc_date: 2024-01-02' || chr(10) || 'title: x' || chr(10) || '---' || chr(10) || lang AS text FROM documents")
+def set_doc_date(s, d):
+    new = F.col("doc_id") % 2 == 0
+    head = F.when(new, F.lit("---\ntitle: x\n---\n")).otherwise(F.lit("---\ndoc_date:  2020-01-01 \ntitle: x\n---\n"))
+    return table(s, d, "documents").select("doc_id", frontmatter.with_doc_date(F.concat(head, "lang"), F.lit("2024-01-02")).alias("text"))
+
+
+@query("SELECT page_id, CASE WHEN contains(lower(url), '/en/') THEN 'web' WHEN contains(lower(url), '/de/') THEN 'plugin' ELSE 'kb' END AS origin FROM pages")
+def folder_origin(s, d):
+    return table(s, d, "pages").select("page_id", frontmatter.origin_of(F.col("url"), {"EN": "web", "de": "plugin"}).alias("origin"))
+
+
+@query("""SELECT doc_id, CASE WHEN doc_id % 5 = 0 THEN 'tutorial' WHEN doc_id % 3 = 0 THEN 'measured' WHEN doc_id % 2 = 0 THEN 'tutorial' ELSE 'measured' END AS trust, CASE WHEN doc_id % 5 = 0 THEN 'false' ELSE 'true' END AS canonical, 'general' AS model_scope FROM documents""")
+def merge_precedence(s, d):
+    """What the caller gives goes before what is written, and that before the kind's default."""
+    i = F.col("doc_id")
+    kind = F.when(i % 2 == 0, "enum_examples").otherwise("error_faq")
+    given = F.when(i % 5 == 0, F.create_map(F.lit("trust"), F.lit("tutorial"), F.lit("canonical"), F.lit("false"))).otherwise(F.create_map(F.lit("trust"), F.lit("")))
+    written = F.when(i % 3 == 0, F.create_map(F.lit("trust"), F.lit("measured"))).otherwise(F.create_map(F.lit("trust"), F.lit("pending"), F.lit("canonical"), F.lit("false")))
+    keys = frontmatter.merged(kind, given, written, ["trust", "canonical", "model_scope"])
+    return table(s, d, "documents").select("doc_id", *[v.alias(k) for k, v in keys.items()])
+
+
+@query()
+def patched_front_matter(s, d):
+    """Keys added to the front matter of a few texts, and what was added to how many."""
+    rows = [("/v/en/a.md", "---\nname: N: x\nfetched: 2024-3-4\n---\nbody"), ("/v/b.md", "---\r\ntitle: t\r\napplies_to:\r\n  model: M\r\ntrust: measured\r\n---\r\nbody"), ("/v/c.md", "no block")]
+    done = frontmatter.patched(s.createDataFrame(rows, "source string, text string").withColumn("modified", F.lit("2024-05-06 00:00:00").cast("timestamp")), {"en": "web"})
+    return done.select("source", "patched", F.concat_ws(",", "notes").alias("notes"))
+
+
+@query()
+def hashed_embeddings(s, d):
+    """Every document's vector by the embedder that needs no model."""
+    return embedded(table(s, d, "documents").select("doc_id", "text")).select("doc_id", F.size("dense").alias("dim"), "issue")
 
 
 @query(rf"SELECT page_id, CAST(n AS INTEGER) AS n, n < 2000 AS short FROM (SELECT page_id, length(regexp_replace(regexp_replace(html, '&#?{WORDS};', '', 'g'), '{SPACES}+', '', 'g')) AS n FROM pages)")

@@ -97,7 +97,7 @@ def test_images(spark):
     text = '![a b](x.png "t") <IMG class="c" src="y.jpg"> ![](z%20q.png)'
     assert one(spark, images.image_refs(F.col("t")), t=text) == ["x.png", "z%20q.png", "y.jpg"]
     assert one(spark, images.strip_images(F.col("t")), t=text) == "[图] [图] [图]"
-    assert one(spark, images.raw_refs(F.col("t")), t='<a href="a/b.PNG"> ![](c.svg) src="http://h/d.png" href="/e.png" href="a/b.PNG"') == ["a/b.PNG", "c.svg"]
+    assert one(spark, images.raw_refs(F.col("t")), t='<a href="a/b.PNG"> ![](c.svg) src="http://h/d.png" href="/e.png" href="a/b.PNG"') == ["a/b.PNG", "c.svg", "e.png"]
 
 
 def test_markdown_tables_and_rectangles(spark):
@@ -263,3 +263,59 @@ def test_stream_indexes_new_files_once(spark, folder, tmp_path):
         got = sorted({T_name(r.source) for r in table.read().select("source").distinct().collect()})
         assert got == sorted(["a.md", "b.txt", "c.docx", "seed", *late])
         (folder / "d.md").write_text("# Late\n" + "more words to be found " * 10)
+
+
+def test_indexing_a_folder(spark, folder, tmp_path):
+    from granary.operators.indexing import index_file, index_folder
+
+    table = incremental.ChunkTable(spark, str(tmp_path / "indexed"), 4)
+    state, changes = index_folder(spark, str(folder), table, None)
+    assert {r.status for r in changes.collect()} == {"added"}
+    state.write.parquet(str(tmp_path / "s1"))
+    state = spark.read.parquet(str(tmp_path / "s1"))
+    known = {T_name(r.path): r.chunks for r in state.collect()}
+    assert known["a.md"] == 2 and known["model_health.md"] == 0
+    assert table.read().where("size(dense) = 64").count() == sum(known.values())
+    (folder / "a.md").write_text("# Guide\n\n" + "only one section now " * 20)
+    (folder / "c.docx").unlink()
+    after, changes = index_folder(spark, str(folder), table, state)
+    assert {T_name(r.path): r.status for r in changes.collect()} == {"a.md": "modified", "b.txt": "unchanged", "c.docx": "deleted", "model_health.md": "unchanged"}
+    assert {T_name(r.source) for r in table.read().collect()} == {"a.md", "b.txt"}
+    after.write.parquet(str(tmp_path / "s2"))
+    after = spark.read.parquet(str(tmp_path / "s2"))
+    assert {T_name(r.path): r.chunks for r in after.collect()} == {"a.md": 1, "b.txt": known["b.txt"], "model_health.md": 0}
+    assert [r.status for r in index_file(spark, str(folder / "a.md"), table, after).collect()] == ["unchanged"]
+
+
+def test_front_matter_patches():
+    from granary.operators import frontmatter as M
+
+    text, notes = M.patch("---\nname: N: x\nfetched: 2024-3-4\n---\nbody", "/a/b.md", "2024-05-06", "web")
+    assert text == '---\nname: "N: x"\nfetched: 2024-3-4\ntitle: "N: x"\ndoc_date: 2024-03-04\ntrust: tutorial\ncanonical: true\nsource_origin: web\napplies_to:\n  framework: "2026"\n  model: general\n---\nbody'
+    assert M.patch(text, "/a/b.md", "x", "web") == (text, [])
+    crlf = "\ufeff---\r\ntitle: t\r\napplies_to:\r\n  model: M\r\ntrust: measured\r\n---\r\nbody"
+    done, notes = M.patch(crlf, "b.md", "2024-05-06", "kb")
+    assert done.startswith('\ufeff---\r\ntitle: t\r\napplies_to:\r\n  model: M\r\n  framework: "2026"\r\ntrust: measured\r\n') and done.endswith("---\r\nbody")
+    assert M.patch("no block", "b.md", "", "kb") == ("no block", [])
+    assert M.flattened({"a": {"b": 1, "c": [1, "x"]}, "d": None, "e": True}) == {"a.b": "1", "a.c": '[1, "x"]', "d": None, "e": "true"}
+
+
+def test_parsed_yaml(spark):
+    from granary.operators.frontmatter import parsed
+
+    rows = [("applies_to:\n  framework: 2.4\ntitle: t",), ("title: Error: Cannot\nkey: 'v'",), (None,)]
+    out = [r.x for r in spark.createDataFrame(rows, "b string").select(parsed("b").alias("x")).collect()]
+    assert out == [{"applies_to.framework": "2.4", "title": "t"}, {"title": "Error: Cannot", "key": "v"}, None]
+
+
+def test_embedder_is_built_again_after_zero_vectors(spark):
+    import numpy as np
+
+    from granary.functions.embedding import embedded, hashed
+
+    def make(made=[]):  # noqa: B006
+        made.append(1)
+        return (lambda texts: np.zeros((len(texts), 64))) if len(made) == 1 else hashed
+
+    rows = spark.createDataFrame([(1, "a b"), (2, "")], "id long, text string").coalesce(1)
+    assert {r.id: r.issue for r in embedded(rows, make=make).collect()} == {1: None, 2: "zero"}
