@@ -21,8 +21,10 @@ WINDOW = LENGTH - GRAM + 1
 CHUNK = 12 << 20
 #: Windows whose anchors are found in one go.
 STRIDE = 1 << 18
-#: Contexts that are compared or sent out at once, about.
-SLICE = 1 << 16
+#: Contexts that are made distinct or sent out at once, about, and distinct ones in one suffix array.
+SLICE, ARRAY = 1 << 16, 1 << 12
+#: Anchors of one hash, beyond which their windows are sent out by their own hashes instead of meeting in one array.
+HOT = 1 << 11
 #: A context is the text of consecutive windows that share an anchor, never longer than this.
 CONTEXT = LENGTH + WINDOW - 1
 
@@ -30,9 +32,12 @@ CONTEXT = LENGTH + WINDOW - 1
 RECORD = np.dtype([("hash", "<u8"), ("doc", "<i8"), ("copy", "<i4"), ("lo", "<i4"), ("anchor", "u1"), ("span", "u1")])
 SPAN = np.dtype([("doc", "<i8"), ("copy", "<i4"), ("lo", "<i4"), ("hi", "<i4")])
 PAIR = np.dtype([("lo", "<i4"), ("hi", "<i4")])
+#: A window by two independent hashes of its LENGTH bytes.
+WINDOWED = np.dtype([("h1", "<u8"), ("h2", "<u8"), ("doc", "<i8"), ("copy", "<i4"), ("lo", "<i4")])
 
 _MULTIPLY = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93)]
 _MIX = np.uint64(0xFF51AFD7ED558CCD)
+_WEIGHTS = np.random.default_rng(20240101).integers(0, 2**64, (LENGTH, 2), np.uint64) | np.uint64(1)
 
 
 def words_at(text: np.ndarray) -> np.ndarray:
@@ -193,11 +198,11 @@ def later_copies(records: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.
     return order[first], order[~first]
 
 
-def sliced(hashes: np.ndarray) -> Iterator[slice]:
-    """Slices of about SLICE sorted hashes, none of which is in two slices."""
+def sliced(hashes: np.ndarray, size: int = SLICE) -> Iterator[slice]:
+    """Slices of about so many sorted hashes, none of which is in two slices."""
     at = 0
     while at < len(hashes):
-        stop = min(at + SLICE, len(hashes))
+        stop = min(at + size, len(hashes))
         stop = int(np.searchsorted(hashes, hashes[stop - 1], "right"))
         yield slice(at, stop)
         at = stop
@@ -217,33 +222,61 @@ def repeated_spans(records: np.ndarray, rows: np.ndarray) -> np.ndarray:
     records, rows = records[keep], rows[keep]
     same = records["hash"][1:] == records["hash"][:-1]  # classes rise with the hash
     several = np.flatnonzero(np.append(same, False) | np.append(False, same))
-    if len(several):
-        records, rows = records[several], rows[several]
-        size = records["span"].astype(np.int64) + LENGTH
-        flat = rows[np.arange(CONTEXT)[None, :] < size[:, None]]
-        begin = np.cumsum(size) - size
-        windows = size - LENGTH + 1
-        owner = np.repeat(np.arange(len(records)), windows)
-        place = np.arange(len(owner)) - np.repeat(np.cumsum(windows) - windows, windows)
-        starts = begin[owner] + place
-        order, common = suffix_order(flat, starts, np.repeat(begin + size, size) - np.arange(len(flat)))
-        left = np.where(place == 0, 256, flat[np.maximum(starts - 1, 0)].astype(np.int64))
-        # Earlier occurrences have smaller ranks.
-        rank = np.empty(len(owner), np.int64)
-        rank[np.lexsort((records["lo"][owner] + place, records["copy"][owner], records["doc"][owner]))] = np.arange(len(owner))
-        found: list[np.ndarray] = []
-        for length, where in repeats(order, common, left):
-            at = order[where]
-            at = np.delete(at, np.argmin(rank[at]))
-            more = np.zeros(len(at), SPAN)
-            more["doc"], more["copy"] = records["doc"][owner[at]], records["copy"][owner[at]]
-            more["lo"] = records["lo"][owner[at]] + place[at]
-            more["hi"] = more["lo"] + length
-            found.append(more)
-        out += found
+    records, rows = records[several], rows[several]
+    for part in sliced(records["hash"], ARRAY):
+        out += _array_spans(records[part], rows[part])
     return np.concatenate(out)
 
 
+def _array_spans(records: np.ndarray, rows: np.ndarray) -> list[np.ndarray]:
+    """Spans of the repeats that a suffix array of some distinct contexts shows, without each one's earliest occurrence."""
+    size = records["span"].astype(np.int64) + LENGTH
+    flat = rows[np.arange(CONTEXT)[None, :] < size[:, None]]
+    begin = np.cumsum(size) - size
+    windows = size - LENGTH + 1
+    owner = np.repeat(np.arange(len(records)), windows)
+    place = np.arange(len(owner)) - np.repeat(np.cumsum(windows) - windows, windows)
+    starts = begin[owner] + place
+    order, common = suffix_order(flat, starts, np.repeat(begin + size, size) - np.arange(len(flat)))
+    left = np.where(place == 0, 256, flat[np.maximum(starts - 1, 0)].astype(np.int64))
+    # Earlier occurrences have smaller ranks.
+    rank = np.empty(len(owner), np.int64)
+    rank[np.lexsort((records["lo"][owner] + place, records["copy"][owner], records["doc"][owner]))] = np.arange(len(owner))
+    found: list[np.ndarray] = []
+    for length, where in repeats(order, common, left):
+        at = order[where]
+        at = np.delete(at, np.argmin(rank[at]))
+        more = np.zeros(len(at), SPAN)
+        more["doc"], more["copy"] = records["doc"][owner[at]], records["copy"][owner[at]]
+        more["lo"] = records["lo"][owner[at]] + place[at]
+        more["hi"] = more["lo"] + length
+        found.append(more)
+    return found
+
+
+def windowed(text: np.ndarray, records: np.ndarray, doc: int, copy: int) -> np.ndarray:
+    """Every window of the records by its own hashes."""
+    count = records["span"].astype(np.int64) + 1
+    lo = np.repeat(records["lo"], count) + np.arange(int(count.sum())) - np.repeat(np.cumsum(count) - count, count)
+    out = np.zeros(len(lo), WINDOWED)
+    out["doc"], out["copy"], out["lo"] = doc, copy, lo
+    for at in range(0, len(lo), 4096):
+        hashed = text[lo[at : at + 4096, None] + np.arange(LENGTH)].astype(np.uint64) @ _WEIGHTS
+        out["h1"][at : at + 4096], out["h2"][at : at + 4096] = hashed[:, 0], hashed[:, 1]
+    return out
+
+
+def later_windows(found: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(earliest window of each pair of hashes, spans of all others)."""
+    found = found[np.lexsort((found["lo"], found["copy"], found["doc"], found["h2"], found["h1"]))]
+    later = np.append(False, (found["h1"][1:] == found["h1"][:-1]) & (found["h2"][1:] == found["h2"][:-1])) if len(found) else np.zeros(0, bool)
+    spans = np.zeros(int(later.sum()), SPAN)
+    for name in ("doc", "copy", "lo"):
+        spans[name] = found[name][later]
+    spans["hi"] = spans["lo"] + LENGTH
+    return found[~later], spans
+
+
 def _by_document(spans: np.ndarray) -> pa.Table:
     """(doc_id, copy, kind 1, data) with the spans of each document joined."""
     spans = spans[np.lexsort((spans["lo"], spans["copy"], spans["doc"]))]
@@ -320,37 +353,61 @@ def _gathered(table: pa.Table, kind: int, dtype: np.dtype) -> np.ndarray:
 
 
 def _repeated(table: pa.Table) -> pa.Table:
-    """Of a bucket's anchors those whose hash occurs twice or more, by document; spans as they come."""
+    """Of a bucket's anchors those whose hash occurs twice or more, by document, kind 2 where it is hot; spans as they come."""
     records = _gathered(table, 0, RECORD)
     records = records[np.argsort(records["hash"], kind="stable")]
     same = records["hash"][1:] == records["hash"][:-1]
     records = records[np.append(same, False) | np.append(False, same)] if len(records) > 1 else records[:0]
+    _, inverse, count = np.unique(records["hash"], return_inverse=True, return_counts=True)
+    hot = count[inverse] > HOT if len(records) else np.zeros(0, bool)
+    parts = [_grouped(records[~hot]), _grouped(records[hot]), _by_document(_gathered(table, 1, SPAN))]
+    kinds = pa.array(np.repeat(np.int32([0, 2, 1]), [len(p) for p in parts]))
+    return pa.concat_tables(parts).append_column("kind", kinds)
+
+
+def _grouped(records: np.ndarray) -> pa.Table:
+    """(doc_id, copy, data) with the records of each document."""
     records = records[np.lexsort((records["lo"], records["copy"], records["doc"]))]
     cut = np.flatnonzero(np.append(True, (records["doc"][1:] != records["doc"][:-1]) | (records["copy"][1:] != records["copy"][:-1]))) if len(records) else np.zeros(0, np.int64)
     data = [records[a:b].tobytes() for a, b in zip(cut.tolist(), [*cut[1:].tolist(), len(records)], strict=False)]
-    anchored = pa.table({"doc_id": records["doc"][cut], "copy": records["copy"][cut], "data": pa.array(data, pa.binary())})
-    spans = _by_document(_gathered(table, 1, SPAN))
-    kinds = pa.array(np.repeat(np.int32([0, 1]), [len(anchored), len(spans)]))
-    return pa.concat_tables([anchored, spans]).append_column("kind", kinds)
+    return pa.table({"doc_id": records["doc"][cut], "copy": records["copy"][cut], "data": pa.array(data, pa.binary())})
 
 
 def _contexts(buckets: int):
-    """The anchors' contexts by bucket of their hash, with the text that they are in; spans as they come."""
+    """The anchors' contexts by bucket of their hash, with the text that they are in; spans as they come.
+
+    Of hot anchors the windows, kind 2, by their own hashes, of which only the earliest in a batch go on.
+    """
 
     def take(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[tuple[int, int], list[bytes]] = {}
+        windows: list[np.ndarray] = []
         waiting = 0
 
+        def deal(kind: int, rows: np.ndarray, key: np.ndarray) -> None:
+            bucket = (key * _MIX >> np.uint64(33)) % np.uint64(buckets)
+            order = np.argsort(bucket, kind="stable")
+            rows, cut = rows[order], np.searchsorted(bucket[order], np.arange(buckets + 1))
+            for b in np.flatnonzero(cut[1:] > cut[:-1]).tolist():
+                held.setdefault((b, kind), []).append(rows[cut[b] : cut[b + 1]].tobytes())
+
         def flush() -> pa.RecordBatch:
+            if windows:
+                first, later = later_windows(np.concatenate(windows))
+                deal(2, first, first["h1"])
+                deal(1, later, later["doc"].view(np.uint64))
             keys = list(held)
             columns = [pa.array([k[0] for k in keys], pa.int32()), pa.array([k[1] for k in keys], pa.int32()), pa.array([b"".join(held[k]) for k in keys], pa.binary())]
             return pa.RecordBatch.from_arrays(columns, ["bucket", "kind", "data"])
 
         for batch in batches:
-            for doc, copy, text, anchored, spans in zip(
-                batch.column("doc_id").to_pylist(), batch.column("copy").to_pylist(), batch.column("text").cast(pa.large_binary()), batch.column("anchored"), batch.column("spans"), strict=True
+            for doc, copy, text, anchored, hot, spans in zip(
+                batch.column("doc_id").to_pylist(), batch.column("copy").to_pylist(), batch.column("text").cast(pa.large_binary()), batch.column("anchored"), batch.column("hot"), batch.column("spans"), strict=True
             ):
-                anchored, spans = anchored.as_py(), spans.as_py()
+                anchored, hot, spans = anchored.as_py(), hot.as_py(), spans.as_py()
+                if hot:
+                    windows.append(windowed(np.frombuffer(text.as_buffer(), np.uint8), np.frombuffer(b"".join(hot), RECORD), doc, copy))
+                    waiting += len(windows[-1])
                 if anchored:
                     raw = np.frombuffer(text.as_buffer(), np.uint8)
                     records = np.frombuffer(b"".join(anchored), RECORD)
@@ -368,8 +425,10 @@ def _contexts(buckets: int):
                 waiting += len(spans) + (len(records) if anchored else 0)
                 if waiting >= SLICE:
                     yield flush()
-                    held, waiting = {}, 0
-        if held:
+                    held.clear()
+                    windows.clear()
+                    waiting = 0
+        if held or windows:
             yield flush()
 
     return take
@@ -378,7 +437,7 @@ def _contexts(buckets: int):
 def _compared(table: pa.Table) -> pa.Table:
     """The spans that a bucket's contexts show to be repeated, and those that came along, by document."""
     flat = np.frombuffer(b"".join(x.as_py() for x in table.filter(pa.compute.equal(table.column("kind"), 0)).column("data")), np.uint8)
-    spans = [_gathered(table, 1, SPAN)]
+    spans = [_gathered(table, 1, SPAN), later_windows(_gathered(table, 2, WINDOWED))[1]]
     if len(flat):
         # Records lie before their contexts, whose lengths they hold in their last byte.
         at, starts = 0, []
@@ -431,7 +490,9 @@ def remove_repeats(docs: DataFrame, keep_text: bool = False) -> DataFrame:
 
     A window's anchor depends on its bytes alone, so equal windows meet under one anchor hash. Each task combines equal
     contexts of its own chunk first; anchors whose hash is not met again go, and only the contexts of the others are
-    sent out and compared, in an enhanced suffix array for each bucket of hashes. The texts are shuffled once by
+    sent out and compared, in enhanced suffix arrays of bounded size. Anchors met more than HOT times, as those of a very
+    common line are, don't meet in one array: their windows are sent out by hashes of all their bytes, the earliest of
+    each task only, so a common string costs a task no more than a row for each other task. The texts are shuffled once by
     document for both joins; anchors cost 26 bytes for each 35 of text, before compression.
     """
     spark = docs.sparkSession
@@ -449,7 +510,7 @@ def remove_repeats(docs: DataFrame, keep_text: bool = False) -> DataFrame:
     scanned = known.select("doc_id", "copy", "text").mapInArrow(_scan(buckets), "bucket int, kind int, data binary")
     twice = map_groups(scanned, ["bucket"], _repeated, "doc_id long, copy int, data binary, kind int")
     by_doc = twice.groupBy("doc_id", "copy").agg(
-        F.collect_list(F.when(F.col("kind") == 0, F.col("data"))).alias("anchored"), F.collect_list(F.when(F.col("kind") == 1, F.col("data"))).alias("spans")
+        *[F.collect_list(F.when(F.col("kind") == k, F.col("data"))).alias(name) for k, name in ((0, "anchored"), (2, "hot"), (1, "spans"))]
     )
     shown = known.join(by_doc, ["doc_id", "copy"]).mapInArrow(_contexts(buckets), "bucket int, kind int, data binary")
     spans = map_groups(shown, ["bucket"], _compared, "doc_id long, copy int, data binary")

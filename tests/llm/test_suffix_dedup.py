@@ -102,3 +102,24 @@ def test_repeated_rows_null_ids_and_clashing_names(spark):
 def test_empty_table(spark):
     df = spark.createDataFrame([], "doc_id long, text string")
     assert S.remove_repeats(df).collect() == []
+
+
+@pytest.mark.parametrize("seed", [4, 5])
+def test_hot_anchors(spark, monkeypatch, seed):
+    """With every repeated anchor taken for hot, and with small arrays, the result is the same."""
+    rows = corpus(seed)
+    df = spark.createDataFrame([Row(doc_id=d, text=t) for d, t in rows], "doc_id long, text string").repartition(4)
+    want = {k: v[0] for k, v in brute(rows).items()}
+    for name, value in (("HOT", 3), ("ARRAY", 4)):
+        tables = S.map_groups
+        real = getattr(S, name)
+
+        def patched(table, kernel, name=name, value=value):
+            setattr(S, name, value)
+            return kernel(table)
+
+        monkeypatch.setattr(S, "map_groups", lambda df, keys, kernel, schema, tables=tables, patched=patched: tables(df, keys, lambda t: patched(t, kernel), schema))
+        found = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in S.remove_repeats(df).collect()}
+        monkeypatch.setattr(S, "map_groups", tables)
+        setattr(S, name, real)
+        assert found == want
