@@ -17,6 +17,8 @@ BLOCK = 2048
 #: Vectors that a cell has on average, while there are fewer than MAX_CELLS cells.
 CELL = 16_384
 MAX_CELLS = 1024
+#: Share of the cells that a vector may go to on average.
+SPREAD = 0.25
 #: About how many vectors the centres are fitted on (the ones with the smallest hashes); all vectors are assigned.
 SAMPLE = 8192
 
@@ -46,6 +48,18 @@ def spherical_kmeans(x: np.ndarray, k: int, rounds: int = 8, seed: int = 7) -> n
     return centres
 
 
+def fitted_centres(x: np.ndarray, k: int, threshold: float) -> np.ndarray:
+    """At most k centres, halved while a vector of the sample would on average go to over SPREAD of the cells.
+
+    Vectors without structure end with two cells: more would be copied to without sparing any comparison.
+    """
+    while True:
+        centres = spherical_kmeans(x, min(k, len(x)))
+        if k <= 2 or cells_of(x, centres, threshold)[1].mean() <= SPREAD:
+            return centres
+        k = max(2, k // 2)
+
+
 def matrix(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
     column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
     return column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(column), -1)
@@ -59,7 +73,7 @@ def cells_of(x: np.ndarray, centres: np.ndarray, threshold: float) -> tuple[np.n
     """
     dots = x @ centres.T
     home = dots.argmax(axis=1)
-    gap = np.sqrt(np.maximum(((centres[:, None, :] - centres[None, :, :]) ** 2).sum(axis=2), 0))
+    gap = np.sqrt(np.maximum(2 - 2 * (centres @ centres.T), 0))
     margin = dots[np.arange(len(x)), home][:, None] - dots
     reach = np.sqrt(max(0.0, 1 - threshold * threshold)) if threshold > 0 else np.inf
     return home, margin <= reach * gap[home] + 1e-9
@@ -130,7 +144,7 @@ def near_duplicates(df: DataFrame, id_col: str = "vec_id", vector: str = "embedd
         sizes = [len(v) for v in fitted]
         dim = max(set(sizes), key=lambda d: (sizes.count(d), d))
         x = unit_rows(np.array([v for v in fitted if len(v) == dim]))
-        centres = spherical_kmeans(x, min(len(x), MAX_CELLS, max(2, -(-total // cell))))
+        centres = fitted_centres(x, min(MAX_CELLS, max(2, -(-total // cell))), threshold)
     placed = classes.mapInArrow(_assign(centres, threshold), "label long, vec array<double>, rep long, n long, dim int, home int, cells array<int>")
     placed = placed.withColumn("cell", F.explode("cells")).drop("cells").withColumn("h", F.xxhash64("rep"))
     keys = ["label", "dim", "cell"]

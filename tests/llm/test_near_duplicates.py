@@ -154,6 +154,19 @@ def test_embedding_links_match_brute_force(spark, cell, block):
     assert got == sorted(want, key=repr)
 
 
+def test_cells_hold_all_near_vectors():
+    r = np.random.default_rng(9)
+    base = r.standard_normal((30, 16))
+    x = embedding_dedup.unit_rows(np.repeat(base, 40, axis=0) + 0.25 * r.standard_normal((1200, 16)))
+    centres = embedding_dedup.fitted_centres(x, 16, 0.93)
+    assert len(centres) > 2
+    home, near = embedding_dedup.cells_of(x, centres, 0.93)
+    i, j = np.nonzero(x @ x.T >= 0.93)
+    assert near[j, home[i]].all() and near.mean() < 0.5
+    flat = embedding_dedup.unit_rows(r.standard_normal((800, 64)))
+    assert len(embedding_dedup.fitted_centres(flat, 64, 0.93)) == 2
+
+
 @pytest.mark.parametrize(("shard", "queries"), [(8192, 2048), (30, 3)])
 def test_top_k_matches_brute_force(spark, shard, queries):
     rows = [x for x in vector_rows(7) if x[0] != 950]
