@@ -187,22 +187,26 @@ def keyword_query(query: Column, dictionary: list[tuple[str, str]]) -> Column:
     return F.when(query.rlike(r"[一-鿿]") & (F.size(found) > 0), words).otherwise(query)
 
 
-def search(chunks: DataFrame, vectors: DataFrame, queries: DataFrame, mode: str = "hybrid", top_k: int | None = None, condition: Column | None = None, version: str | None = None, as_of: Column | None = None, dictionary: list[tuple[str, str]] = ()) -> DataFrame:
+def search(chunks: DataFrame, vectors: DataFrame, queries: DataFrame, mode: str = "hybrid", top_k: int | None = None, condition: Column | None = None, version: str | None = None, as_of: Column | None = None, dictionary: list[tuple[str, str]] = (), posts: DataFrame | None = None) -> DataFrame:
     """Results of queries (qid, query, qvec) over chunks with metadata and vectors (id, dense).
 
     (qid, rank, id, source, score, channels, deferred, drift, low_conf). mode: hybrid, semantic or exact. A query that
     finds nothing under `version` is answered without it, and says so by drift. low_conf: the best result before
     re-ranking had one channel only (hybrid) or a score under LOW_CONFIDENCE (semantic).
+
+    posts are the postings of all chunks, where a table of them is kept; else they are made once and cached, as three
+    channels read them.
     """
     k, pool = pool_size(top_k)
     rows = chunks if condition is None else chunks.where(condition)
+    kept = posts if posts is not None or mode == "semantic" else postings(rows).persist()
     asked = queries.withColumn("sparse_query", keyword_query(F.col("query"), list(dictionary)) if dictionary else F.col("query"))
 
     def run(part: DataFrame) -> DataFrame:
         own = vectors.join(part.select("id"), "id", "left_semi")
         if mode == "semantic":
             return dense_channel(own, asked, pool, SEMANTIC_THRESHOLD).select("qid", "id", "score", F.array(F.lit("dense")).alias("channels"), F.col("score").alias("best"))
-        posts = postings(part)
+        posts = kept if part is rows and condition is None else kept.join(part.select("id"), "id", "left_semi")
         exact = exact_channel(posts, part, own, asked, pool)
         if mode == "exact":
             return exact.select("qid", "id", "score", F.array(F.lit("exact")).alias("channels"), F.col("score").alias("best"))
@@ -225,8 +229,9 @@ def error_lookup(chunks: DataFrame, vectors: DataFrame, queries: DataFrame, exac
     Queries of under 6 characters are too short to be looked up.
     """
     asked = queries.where(F.length(T.normalize_for_search(F.col("query"))) >= 6)
-    tiers = [search(chunks, vectors, asked, "exact", top_k, F.col("kind") == "error_faq"), search(chunks, vectors, asked, "exact", top_k)]
-    tiers += [] if exact_only else [search(chunks, vectors, asked, "hybrid", top_k)]
+    posts = postings(chunks).persist()
+    tiers = [search(chunks, vectors, asked, "exact", top_k, F.col("kind") == "error_faq", posts=posts), search(chunks, vectors, asked, "exact", top_k, posts=posts)]
+    tiers += [] if exact_only else [search(chunks, vectors, asked, "hybrid", top_k, posts=posts)]
     every = None
     for i, part in enumerate(tiers):
         part = part.withColumn("tier", F.lit(i + 1))

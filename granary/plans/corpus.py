@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from granary.functions import text as T
@@ -23,8 +23,10 @@ def corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
     labels = table(spark, sf_dir, "labels").groupBy("doc_id").agg(F.max("quality").alias("quality"))
     i = F.col("doc_id")
     rows = d.join(labels, "doc_id", "left").withColumn("hash", F.md5("text"))
-    same = Window.partitionBy("hash")
-    canonical = F.when(F.count(F.lit(1)).over(same) > 1, F.col("doc_id") == F.min("doc_id").over(same))
+    # Only hashes that several documents have are joined back, so texts needn't be shuffled where those are few.
+    shared = d.groupBy(F.md5("text").alias("hash")).agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("same")).where("same > 1")
+    rows = rows.join(shared, "hash", "left")
+    canonical = F.when(F.col("first").isNotNull(), F.col("doc_id") == F.col("first"))
     pick = lambda m, *names: F.element_at(F.array(*map(F.lit, names)), (F.pmod(i, F.lit(m)) + 1).cast("int"))
     return rows.select(
         i.alias("id"), "text", "lang", "hash", F.col("source").alias("folder"), F.concat_ws("/", "source", i.cast("string")).alias("source"), T.normalize_for_search(F.col("text")).alias("search_text"),

@@ -386,7 +386,7 @@ def _described(s: SparkSession, d: str) -> DataFrame:
     )
 
 
-@query(f"""WITH {CORPUS} SELECT folder, count(*) AS chunks, count_if(trust <> '' AND doc_date <> 0) AS v2_chunks, arg_min(CASE WHEN id % 11 = 0 THEN NULL ELSE 't' || id END, id) FILTER (id % 11 <> 0) AS title, arg_min(lang, id) AS lang, arg_min(trust, id) AS trust FROM corpus GROUP BY folder""")
+@query(f"""WITH {CORPUS} SELECT folder, count(*) AS chunks, CAST(count_if(trust <> '' AND doc_date <> 0) AS BIGINT) AS v2_chunks, arg_min(CASE WHEN id % 11 = 0 THEN NULL ELSE 't' || id END, id) FILTER (id % 11 <> 0) AS title, arg_min(lang, id) AS lang, arg_min(trust, id) AS trust FROM corpus GROUP BY folder""")
 def doc_rollup(s, d):
     return governance.roll_up(_described(s, d), ["title", "lang", "trust"], ["id"], "folder")
 
@@ -466,7 +466,7 @@ def outline_counts(s, d):
 _CAPS = "c AS (SELECT id, folder, 'x' || text AS text, id % 3 > 0 AS img, CASE WHEN id % 9 = 1 THEN NULL ELSE substr(text, 1, 5) END AS cap, CASE id % 4 WHEN 0 THEN 'explicit' WHEN 1 THEN 'alt' WHEN 2 THEN 'context' ELSE 'heading' END AS src FROM corpus), a AS (SELECT *, cap <> '' AS has, coalesce(cap <> '' AND contains(text, cap) AND id % 2 = 0, false) AS shown FROM c WHERE img)"
 
 
-@query(f"WITH {CORPUS}, {_CAPS}, d AS (SELECT folder, bool_or(coalesce(has, false)) AS h, bool_or(shown) AS m FROM a GROUP BY folder) SELECT (SELECT count(*) FROM a) AS candidates, (SELECT count_if(has) FROM a) AS captioned, (SELECT count_if(shown) FROM a) AS in_text, (SELECT count_if(src IN ('explicit', 'alt')) FROM a) AS real, (SELECT count(*) FROM d) AS docs, (SELECT count_if(h) FROM d) AS captioned_docs, (SELECT count_if(h AND NOT m) FROM d) AS stale_docs")
+@query(f"WITH {CORPUS}, {_CAPS}, d AS (SELECT folder, bool_or(coalesce(has, false)) AS h, bool_or(shown) AS m FROM a GROUP BY folder) SELECT (SELECT count(*) FROM a) AS candidates, (SELECT CAST(count_if(has) AS BIGINT) FROM a) AS captioned, (SELECT CAST(count_if(shown) AS BIGINT) FROM a) AS in_text, (SELECT CAST(count_if(src IN ('explicit', 'alt')) AS BIGINT) FROM a) AS real, (SELECT count(*) FROM d) AS docs, (SELECT CAST(count_if(h) AS BIGINT) FROM d) AS captioned_docs, (SELECT CAST(count_if(h AND NOT m) AS BIGINT) FROM d) AS stale_docs")
 def coverage_sets(s, d):
     i = F.col("id")
     rows = corpus(s, d).select(
