@@ -137,8 +137,9 @@ def caption_coverage(chunks: DataFrame) -> DataFrame:
     ).crossJoin(F.broadcast(per_doc))
 
 
-def vector_quality(vectors: DataFrame, dim: int) -> DataFrame:
-    """(issue, n, pct) over all vectors; ok where there is none."""
+def vector_quality(vectors: DataFrame, dim: int, sample: int | None = None) -> DataFrame:
+    """(issue, n, pct) over all vectors, or over a quick look at some; ok where there is none."""
+    vectors = vectors if sample is None else vectors.limit(sample)
     issue = F.coalesce(meta.vector_issue(F.col("dense"), dim), F.lit("ok")).alias("issue")
     grouped = vectors.groupBy(issue).agg(F.count(F.lit(1)).alias("n"))
     total = vectors.agg(F.count(F.lit(1)).alias("total"))

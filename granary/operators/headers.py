@@ -80,4 +80,4 @@ def without_covered(blocks: DataFrame, tables: DataFrame, least: float = 0.5) ->
     b, t = blocks.alias("b"), tables.alias("t")
     over: Column = rect_overlap(*[F.col(f"t.{c}") for c in ("x0", "y0", "x1", "y1")], *[F.col(f"b.{c}") for c in ("x0", "y0", "x1", "y1")])
     kept = b.join(t, (F.col("b.page") == F.col("t.page")) & (over >= least), "left_anti")
-    return kept.withColumn("reading_order", F.row_number().over(Window.partitionBy("page").orderBy("y0", "x0")))
+    return kept.withColumn("reading_order", F.row_number().over(Window.partitionBy("page").orderBy("y0", "x0", *(["id"] if "id" in blocks.columns else []))))

@@ -498,6 +498,40 @@ def fuzzy_header_footer(s, d):
     return headers.strip_headers(s.createDataFrame(rows, "doc string, page long, text string"))
 
 
+_LINES = "l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS i FROM documents), f AS (SELECT doc_id, i, CASE WHEN i % 4 = 1 THEN '  ```' ELSE line END AS line FROM l)"
+
+
+@query(f"WITH {_LINES} SELECT doc_id, count(*) AS lines, CAST(count_if(fenced) AS BIGINT) AS fenced FROM (SELECT doc_id, sum(CASE WHEN starts_with(ltrim(line), '```') THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY i) % 2 = 1 AS fenced FROM f) GROUP BY doc_id")
+def fence_parity(s, d):
+    """Lines inside fences, where every fourth line of a document is made one."""
+    lines = table(s, d, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("i", "line"))
+    lines = lines.withColumn("line", F.when(F.col("i") % 4 == 1, "  ```").otherwise(F.col("line")))
+    out = chunking.fence_parity(lines, "doc_id", "i")
+    return out.groupBy("doc_id").agg(F.count(F.lit(1)).alias("lines"), F.count_if("fenced").alias("fenced"))
+
+
+_BLOCKS = "b AS (SELECT p_partkey AS id, p_partkey % 40 AS page, CAST(p_partkey % 7 AS DOUBLE) AS x0, CAST(p_partkey % 11 AS DOUBLE) AS y0, p_partkey % 7 + 2.0::DOUBLE AS x1, p_partkey % 11 + 1.0::DOUBLE AS y1 FROM part), t AS (SELECT s_suppkey % 40 AS page, CAST(s_suppkey % 5 AS DOUBLE) AS x0, CAST(s_suppkey % 8 AS DOUBLE) AS y0, s_suppkey % 5 + 3.0::DOUBLE AS x1, s_suppkey % 8 + 2.5::DOUBLE AS y1 FROM supplier)"
+
+
+@query(f"""WITH {_BLOCKS} SELECT id, page, CAST(row_number() OVER (PARTITION BY page ORDER BY y0, x0, id) AS INTEGER) AS reading_order FROM b WHERE NOT EXISTS (SELECT 1 FROM t WHERE t.page = b.page
+AND greatest(0, least(t.x1, b.x1) - greatest(t.x0, b.x0)) * greatest(0, least(t.y1, b.y1) - greatest(t.y0, b.y0)) / ((b.x1 - b.x0) * (b.y1 - b.y0)) >= 0.5)""")
+def blocks_without_tables(s, d):
+    """Rectangles made of parts that no rectangle made of suppliers covers, in reading order."""
+
+    def rectangles(name: str, key: str, w: int, h: int, dx: float, dy: float) -> DataFrame:
+        k = F.col(key)
+        x, y = (k % w).cast("double"), (k % h).cast("double")
+        return table(s, d, name).select(k.alias("id"), (k % 40).alias("page"), x.alias("x0"), y.alias("y0"), (x + dx).alias("x1"), (y + dy).alias("y1"))
+
+    return headers.without_covered(rectangles("part", "p_partkey", 7, 11, 2.0, 1.0), rectangles("supplier", "s_suppkey", 5, 8, 3.0, 2.5)).select("id", "page", "reading_order")
+
+
+@query()
+def largest_image(s, d):
+    refs = s.createDataFrame([("a.md", "x.png", True), ("a.md", "y.png", True), ("b.md", "z.png", False), ("c.md", "x.png", True), ("a.md", "w.png", True)], "source string, path string, reachable boolean")
+    return images.largest(refs, s.createDataFrame([("x.png", 5), ("y.png", 9), ("w.png", 9), ("z.png", 99)], "path string, size long"))
+
+
 # Incremental maintenance
 
 
