@@ -7,6 +7,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -40,6 +41,22 @@ _MIX = np.uint64(0xFF51AFD7ED558CCD)
 _WEIGHTS = np.random.default_rng(20240101).integers(0, 2**64, (LENGTH, 2), np.uint64) | np.uint64(1)
 
 
+def packed(rows: np.ndarray, more: bytes = b"") -> bytes:
+    """Rows column by column, which compress well when sorted, and some bytes after them."""
+    columns = b"".join(rows[n].tobytes() for n in rows.dtype.names)
+    return zstandard.compress(len(rows).to_bytes(8, "little") + columns + more, 1)
+
+
+def unpacked(data: bytes, dtype: np.dtype) -> tuple[np.ndarray, bytes]:
+    raw = zstandard.decompress(data)
+    rows, at = np.empty(int.from_bytes(raw[:8], "little"), dtype), 8
+    for name in dtype.names:
+        kind = dtype[name]
+        rows[name] = np.frombuffer(raw, kind, len(rows), at)
+        at += len(rows) * kind.itemsize
+    return rows, raw[at:]
+
+
 def words_at(text: np.ndarray) -> np.ndarray:
     """The 8 bytes from each position as one big-endian integer; beyond the end there are zeros."""
     padded = np.concatenate([text, np.zeros(8, np.uint8)])
@@ -322,7 +339,7 @@ def _scan(buckets: int):
             order = np.argsort(bucket, kind="stable")
             cut = np.searchsorted(bucket[order], np.arange(buckets + 1))
             rows = rows[order]
-            out += [(b, kind, rows[cut[b] : cut[b + 1]].tobytes()) for b in range(buckets) if cut[b] < cut[b + 1]]
+            out += [(b, kind, packed(rows[cut[b] : cut[b + 1]])) for b in range(buckets) if cut[b] < cut[b + 1]]
         if not out:
             return None
         b, k, d = zip(*out, strict=True)
@@ -349,7 +366,7 @@ def _scan(buckets: int):
 
 def _gathered(table: pa.Table, kind: int, dtype: np.dtype) -> np.ndarray:
     data = table.filter(pa.compute.equal(table.column("kind"), kind)).column("data")
-    return np.frombuffer(b"".join(x.as_py() for x in data), dtype)
+    return np.concatenate([np.zeros(0, dtype), *(unpacked(x.as_py(), dtype)[0] for x in data)])
 
 
 def _repeated(table: pa.Table) -> pa.Table:
@@ -380,55 +397,66 @@ def _contexts(buckets: int):
     """
 
     def take(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[tuple[int, int], list[bytes]] = {}
+        # Records with their contexts one after another, windows of hot anchors, and spans.
+        held: list[np.ndarray] = []
+        texts: list[np.ndarray] = []
         windows: list[np.ndarray] = []
+        given: list[np.ndarray] = []
         waiting = 0
 
-        def deal(kind: int, rows: np.ndarray, key: np.ndarray) -> None:
+        def dealt(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
             bucket = (key * _MIX >> np.uint64(33)) % np.uint64(buckets)
             order = np.argsort(bucket, kind="stable")
-            rows, cut = rows[order], np.searchsorted(bucket[order], np.arange(buckets + 1))
-            for b in np.flatnonzero(cut[1:] > cut[:-1]).tolist():
-                held.setdefault((b, kind), []).append(rows[cut[b] : cut[b + 1]].tobytes())
+            return order, np.searchsorted(bucket[order], np.arange(buckets + 1))
 
         def flush() -> pa.RecordBatch:
+            out: list[tuple[int, int, bytes]] = []
+            if held:
+                records, flat = np.concatenate(held), np.concatenate(texts)
+                size = records["span"].astype(np.int64) + LENGTH
+                begin = np.cumsum(size) - size
+                order, cut = dealt(records["hash"])
+                size, begin, records = size[order], begin[order], records[order]
+                stop = np.append(0, np.cumsum(size))
+                flat = flat[np.repeat(begin - stop[:-1], size) + np.arange(len(flat))]
+                out += [(b, 0, packed(records[cut[b] : cut[b + 1]], flat[stop[cut[b]] : stop[cut[b + 1]]].tobytes())) for b in range(buckets) if cut[b] < cut[b + 1]]
             if windows:
                 first, later = later_windows(np.concatenate(windows))
-                deal(2, first, first["h1"])
-                deal(1, later, later["doc"].view(np.uint64))
-            keys = list(held)
-            columns = [pa.array([k[0] for k in keys], pa.int32()), pa.array([k[1] for k in keys], pa.int32()), pa.array([b"".join(held[k]) for k in keys], pa.binary())]
-            return pa.RecordBatch.from_arrays(columns, ["bucket", "kind", "data"])
+                given.append(later)
+                order, cut = dealt(first["h1"])
+                out += [(b, 2, packed(first[order[cut[b] : cut[b + 1]]])) for b in range(buckets) if cut[b] < cut[b + 1]]
+            if given:
+                spans = np.concatenate(given)
+                order, cut = dealt(spans["doc"].view(np.uint64))
+                out += [(b, 1, packed(spans[order[cut[b] : cut[b + 1]]])) for b in range(buckets) if cut[b] < cut[b + 1]]
+            b, k, d = zip(*out, strict=True) if out else ((), (), ())
+            return pa.RecordBatch.from_arrays([pa.array(b, pa.int32()), pa.array(k, pa.int32()), pa.array(d, pa.binary())], ["bucket", "kind", "data"])
 
         for batch in batches:
             for doc, copy, text, anchored, hot, spans in zip(
                 batch.column("doc_id").to_pylist(), batch.column("copy").to_pylist(), batch.column("text").cast(pa.large_binary()), batch.column("anchored"), batch.column("hot"), batch.column("spans"), strict=True
             ):
                 anchored, hot, spans = anchored.as_py(), hot.as_py(), spans.as_py()
+                raw = np.frombuffer(text.as_buffer(), np.uint8) if anchored or hot else None
                 if hot:
-                    windows.append(windowed(np.frombuffer(text.as_buffer(), np.uint8), np.frombuffer(b"".join(hot), RECORD), doc, copy))
+                    windows.append(windowed(raw, np.frombuffer(b"".join(hot), RECORD), doc, copy))
                     waiting += len(windows[-1])
                 if anchored:
-                    raw = np.frombuffer(text.as_buffer(), np.uint8)
-                    records = np.frombuffer(b"".join(anchored), RECORD)
-                    rows = contexts(raw, records["lo"], records["span"])
-                    size = records["span"].astype(np.int64) + LENGTH
-                    flat = rows[np.arange(CONTEXT)[None, :] < size[:, None]].tobytes()
-                    at = (np.cumsum(size) - size).tolist()
-                    for b, r, a, n in zip(((records["hash"] * _MIX >> np.uint64(33)) % np.uint64(buckets)).tolist(), records, at, size.tolist(), strict=True):
-                        held.setdefault((b, 0), []).append(r.tobytes() + flat[a : a + n])
+                    held.append(np.frombuffer(b"".join(anchored), RECORD))
+                    rows = contexts(raw, held[-1]["lo"], held[-1]["span"])
+                    texts.append(rows[np.arange(CONTEXT)[None, :] < held[-1]["span"].astype(np.int64)[:, None] + LENGTH])
+                    waiting += len(held[-1])
                 if spans:
                     pairs = np.frombuffer(b"".join(spans), PAIR)
-                    out = np.zeros(len(pairs), SPAN)
-                    out["doc"], out["copy"], out["lo"], out["hi"] = doc, copy, pairs["lo"], pairs["hi"]
-                    held.setdefault((doc % buckets, 1), []).append(out.tobytes())
-                waiting += len(spans) + (len(records) if anchored else 0)
+                    given.append(np.zeros(len(pairs), SPAN))
+                    given[-1]["doc"], given[-1]["copy"], given[-1]["lo"], given[-1]["hi"] = doc, copy, pairs["lo"], pairs["hi"]
+                    waiting += len(pairs)
                 if waiting >= SLICE:
                     yield flush()
-                    held.clear()
-                    windows.clear()
+                    for x in (held, texts, windows, given):
+                        x.clear()
                     waiting = 0
-        if held or windows:
+        if waiting:
             yield flush()
 
     return take
@@ -436,21 +464,18 @@ def _contexts(buckets: int):
 
 def _compared(table: pa.Table) -> pa.Table:
     """The spans that a bucket's contexts show to be repeated, and those that came along, by document."""
-    flat = np.frombuffer(b"".join(x.as_py() for x in table.filter(pa.compute.equal(table.column("kind"), 0)).column("data")), np.uint8)
+    parts = [unpacked(x.as_py(), RECORD) for x in table.filter(pa.compute.equal(table.column("kind"), 0)).column("data")]
     spans = [_gathered(table, 1, SPAN), later_windows(_gathered(table, 2, WINDOWED))[1]]
-    if len(flat):
-        # Records lie before their contexts, whose lengths they hold in their last byte.
-        at, starts = 0, []
-        width = RECORD.itemsize
-        while at < len(flat):
-            starts.append(at)
-            at += width + LENGTH + int(flat[at + width - 1])
-        begin = np.array(starts, np.int64)
-        records = np.ascontiguousarray(flat[begin[:, None] + np.arange(width)]).view(RECORD).ravel()
+    if parts:
+        records = np.concatenate([r for r, _ in parts])
+        flat = np.frombuffer(b"".join(t for _, t in parts), np.uint8)
+        del parts
+        size = records["span"].astype(np.int64) + LENGTH
+        begin = np.cumsum(size) - size
         order = np.argsort(records["hash"], kind="stable")
         begin, records = begin[order], records[order]
         for part in sliced(records["hash"]):
-            spans.append(repeated_spans(records[part], contexts(flat, begin[part] + width, records["span"][part])))
+            spans.append(repeated_spans(records[part], contexts(flat, begin[part], records["span"][part])))
     return _by_document(np.concatenate(spans))
 
 
