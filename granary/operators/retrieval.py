@@ -5,6 +5,11 @@ Everything is partitioned by qid, so one plan answers a batch of queries; every
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from functools import reduce
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -22,7 +27,7 @@ PER_SOURCE, HEAD = 2, 3
 DIGITS = 6
 
 #: Queries that are sent to every executor at once; more are answered in several passes of the same plan.
-QUERIES_AT_ONCE = 2000
+QUERIES_AT_ONCE, VECTORS_AT_ONCE = 2000, 1024
 
 
 def pool_size(top_k: int | None) -> tuple[int, int]:
@@ -31,12 +36,18 @@ def pool_size(top_k: int | None) -> tuple[int, int]:
     return k, max(POOL_FACTOR * k, POOL_MIN)
 
 
-def cosine(a: Column, b: Column) -> Column:
-    """Cosine in double precision, summed from the left; null where one is null, zero or of another length."""
-    x, y = a.cast("array<double>"), b.cast("array<double>")
-    dot = lambda p, q: F.aggregate(F.zip_with(p, q, lambda u, v: u * v), F.lit(0.0), lambda s, v: s + v)
-    norm = F.sqrt(dot(x, x)) * F.sqrt(dot(y, y))
-    return F.when((F.size(x) == F.size(y)) & (norm > 0), dot(x, y) / norm)
+def rows_of(column: pa.ListArray) -> tuple[np.ndarray, np.ndarray]:
+    """(positions, matrix) of the usual length's vectors that are whole, finite and not zero, scaled to length one."""
+    column = column.cast(pa.list_(pa.float64()))
+    sizes = np.diff(column.offsets.to_numpy())
+    sizes[column.is_null().to_numpy(zero_copy_only=False)] = 0
+    if not len(sizes) or not sizes.max():
+        return np.zeros(0, np.int64), np.zeros((0, 0))
+    at = np.flatnonzero(sizes == np.bincount(sizes[sizes > 0]).argmax())
+    x = column.take(pa.array(at)).flatten().to_numpy(zero_copy_only=False).reshape(len(at), -1)
+    length = np.sqrt((x * x).sum(axis=1))
+    good = np.isfinite(length) & (length > 0)
+    return at[good], x[good] / length[good, None]
 
 
 def top(scored: DataFrame, n: int, score: str = "score", by: str = "qid") -> DataFrame:
@@ -45,27 +56,65 @@ def top(scored: DataFrame, n: int, score: str = "score", by: str = "qid") -> Dat
     return scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= n)
 
 
-def similarities(vectors: DataFrame, queries: DataFrame, among: DataFrame | None = None) -> DataFrame:
-    """(qid, id, score): cosine of every query (qid, qvec) with every vector (id, dense), or with pairs `among` (qid, id).
+def similarities(vectors: DataFrame, queries: DataFrame, among: DataFrame) -> DataFrame:
+    """(qid, id, score): cosine in double precision of the pairs `among` (qid, id); pairs without a usable vector go."""
+
+    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            i, x = rows_of(batch.column("qvec"))
+            j, y = rows_of(batch.column("dense"))
+            both, at, to = np.intersect1d(i, j, return_indices=True)
+            cos = (x[at] * y[to]).sum(axis=1) if len(both) and x.shape[1] == y.shape[1] else np.zeros(0)
+            both = both[: len(cos)]
+            picked = batch.take(pa.array(both))
+            yield pa.RecordBatch.from_arrays([picked.column("qid"), picked.column("id"), pa.array(np.round(cos, DIGITS))], ["qid", "id", "score"])
+
+    pairs = among.join(vectors.select("id", "dense"), "id").join(queries.select("qid", "qvec"), "qid")
+    return pairs.select("qid", "id", "qvec", "dense").mapInArrow(score, "qid long, id long, score double")
+
 
-    Without pairs the queries are broadcast, QUERIES_AT_ONCE at most; the vectors stay where they are.
+def nearest(vectors: DataFrame, queries: DataFrame, n: int, threshold: float | None) -> DataFrame:
+    """(qid, id, score) that hold each query's n best vectors, by blocked matrix products where the vectors are.
+
+    The queries, QUERIES_AT_ONCE at most in a pass, go to every task. A task gives out only rows that are among its own
+    n best so far, so what is shuffled hardly grows with its vectors.
     """
-    if among is None:
-        parts = -(-max(1, queries.count()) // QUERIES_AT_ONCE)
-        dealt = [queries] if parts == 1 else [queries.where(F.pmod(F.xxhash64("qid"), F.lit(parts)) == i) for i in range(parts)]
-        pairs = [vectors.select("id", "dense").crossJoin(F.broadcast(q.select("qid", "qvec"))) for q in dealt]
-    else:
-        pairs = [among.join(vectors.select("id", "dense"), "id").join(queries.select("qid", "qvec"), "qid")]
-    scored = [p.select("qid", "id", F.round(cosine(F.col("qvec"), F.col("dense")), DIGITS).alias("score")).where("score is not null") for p in pairs]
-    out = scored[0]
-    for more in scored[1:]:
-        out = out.unionByName(more)
-    return out
+
+    def scan(names: np.ndarray, asked: np.ndarray):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            best = np.full((len(names), n), -np.inf if threshold is None else threshold - 1)
+            for batch in batches:
+                at, x = rows_of(batch.column("dense"))
+                ids = batch.column("id").to_numpy()[at]
+                if not len(x) or x.shape[1] != asked.shape[1]:
+                    continue
+                for k in range(0, len(x), VECTORS_AT_ONCE):
+                    cos = np.round(asked @ x[k : k + VECTORS_AT_ONCE].T, DIGITS)
+                    keep = cos >= best[:, :1]
+                    if threshold is not None:
+                        keep &= cos >= threshold
+                    q, v = np.nonzero(keep)
+                    if not len(q):
+                        continue
+                    best = np.sort(np.concatenate([best, -np.sort(-cos, axis=1)[:, :n]], axis=1), axis=1)[:, -n:]
+                    some = cos[q, v] >= best[q, 0]
+                    q, v = q[some], v[some]
+                    yield pa.RecordBatch.from_arrays([pa.array(names[q]), pa.array(ids[k + v]), pa.array(cos[q, v])], ["qid", "id", "score"])
+
+        return run
+
+    found = [(r.qid, r.qvec) for r in queries.select("qid", "qvec").limit(QUERIES_AT_ONCE + 1).collect()]
+    if len(found) > QUERIES_AT_ONCE:  # more than are held at once: in passes by hash
+        parts = -(-queries.count() // (QUERIES_AT_ONCE // 2))
+        halves = [nearest(vectors, queries.where(F.pmod(F.xxhash64("qid"), F.lit(parts)) == i), n, threshold) for i in range(parts)]
+        return reduce(DataFrame.unionByName, halves)
+    at, asked = rows_of(pa.array([q for _, q in found], pa.list_(pa.float64())))
+    names = np.array([i for i, _ in found], np.int64)[at]
+    return vectors.select("id", "dense").mapInArrow(scan(names, asked), "qid long, id long, score double")
 
 
 def dense_channel(vectors: DataFrame, queries: DataFrame, pool: int, threshold: float | None) -> DataFrame:
-    scored = similarities(vectors, queries)
-    return top(scored.where(F.col("score") >= threshold) if threshold else scored, pool)
+    return top(nearest(vectors, queries, pool, threshold or None), pool)
 
 
 def postings(chunks: DataFrame) -> DataFrame:

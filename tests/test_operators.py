@@ -143,6 +143,28 @@ def test_rerank_is_the_loop(spark):
     assert got == want
 
 
+@pytest.mark.parametrize("at_once", [2000, 4])
+def test_nearest_vectors(spark, monkeypatch, at_once):
+    import numpy as np
+
+    monkeypatch.setattr(retrieval, "QUERIES_AT_ONCE", at_once)
+    monkeypatch.setattr(retrieval, "VECTORS_AT_ONCE", 7)
+    r = np.random.default_rng(1)
+    vectors = [(i, r.integers(-2, 3, 3).astype(float).tolist()) for i in range(90)] + [(90, None), (91, [0.0, 0.0, 0.0]), (92, [1.0]), (93, [float("nan"), 1.0, 1.0])]
+    queries = [(i, r.integers(-2, 3, 3).astype(float).tolist()) for i in range(9)] + [(9, None)]
+    v = spark.createDataFrame(vectors, "id long, dense array<float>").repartition(3)
+    q = spark.createDataFrame(queries, "qid long, qvec array<float>")
+    for threshold in (None, 0.55):
+        got = {}
+        for x in retrieval.dense_channel(v, q, 5, threshold).collect():
+            got.setdefault(x.qid, []).append((x.rank, x.id, x.score))
+        for i, a in queries:
+            good = [(j, np.array(b)) for j, b in vectors[:90] if any(b)] if a and any(a) else []
+            scored = sorted((-round(float(np.dot(a, b) / np.linalg.norm(a) / np.linalg.norm(b)), 6), j) for j, b in good)
+            want = [(n + 1, j, -s) for n, (s, j) in enumerate([x for x in scored if threshold is None or -x[0] >= threshold][:5])]
+            assert sorted(got.get(i, [])) == want
+
+
 def test_canonical_filter_keeps_unknown(spark):
     df = spark.createDataFrame([(1, True), (2, False), (3, None)], "id int, is_canonical boolean")
     assert [r.id for r in df.where(filters.canonical_only()).collect()] == [1, 3]
