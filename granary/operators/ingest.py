@@ -21,7 +21,7 @@ def with_defaults(docs: DataFrame, as_of: Column) -> DataFrame:
     of_kind = lambda key, other: F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for k, v in kinds.items() for x in (k, v[key])]), F.col("kind")), other)
     today = F.date_format(as_of, "yyyy-MM-dd")
     general = {
-        "title": F.concat(of_kind("label", F.col("kind")), F.lit("-"), today), "product": F.lit("emulate3d"), "framework": F.lit("unknown"), "model": F.lit("general"), "doc_version": F.lit(""),
+        "title": F.concat(of_kind("label", F.col("kind")), F.lit("-"), today), "product": F.lit(meta.PRODUCT_PATHS[0][0]), "framework": F.lit("unknown"), "model": F.lit("general"), "doc_version": F.lit(""),
         "doc_date": today, "trust": of_kind("trust", F.lit("tutorial")), "source_origin": of_kind("source_origin", F.lit("kb")), "ingested_by": of_kind("ingested_by", F.lit("manual")), "revision": F.lit(""),
         "canonical": (F.col("kind") != "draft").cast("string"), "superseded_by": F.lit(""), "canonical_uid": F.lit(""),
     }
