@@ -1,0 +1,149 @@
+"""Near-duplicate texts by Jaccard similarity of word shingles: candidates by MinHash bands, links by an exact check."""
+
+from __future__ import annotations
+
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import xxhash
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from granary.llm.common import connected_components, map_groups, materialize
+from granary.llm.simhash import SEED, smallest_of_each
+
+WORDS, LEAST = 5, 0.8
+#: Texts of similarity s share no band with probability (1 - s ** ROWS) ** BANDS, which is 1.3e-7 at 0.8.
+BANDS, ROWS = 40, 5
+#: Texts on each side of a comparison in one task, about.
+DEALT = 512
+#: Ids of texts to compare that are broadcast; more are joined by a shuffle.
+BROADCAST_ROWS = 500_000
+
+_mix = np.random.default_rng(SEED).integers(0, 1 << 32, (2, BANDS * ROWS, 1), dtype=np.uint32)
+_XOR, _TIMES = _mix[0], _mix[1] | np.uint32(1)
+
+
+def shingles(text: bytes, words: int = WORDS) -> np.ndarray:
+    """The sorted distinct hashes of the text's word shingles; words are split and lower-cased as for SimHash."""
+    tokens = text.lower().split()
+    if not tokens:
+        return np.zeros(0, np.uint64)
+    digest = xxhash.xxh64_intdigest
+    if len(tokens) < words:
+        return np.array([digest(b" ".join(tokens), SEED)], np.uint64)
+    joined = b" ".join(tokens)
+    ends = np.cumsum(np.fromiter(map(len, tokens), np.int64, len(tokens)) + 1) - 1
+    starts = np.concatenate(([0], ends[:-1] + 1))[: len(tokens) - words + 1].tolist()
+    return np.unique(np.fromiter((digest(joined[a:b], SEED) for a, b in zip(starts, ends[words - 1 :].tolist(), strict=True)), np.uint64, len(starts)))
+
+
+def band_keys(found: np.ndarray, block: int = 1024) -> np.ndarray:
+    """A key for each band, equal where texts have the same least hashes; none for a text without words."""
+    if not len(found):
+        return np.zeros(0, np.int64)
+    low = found.astype(np.uint32)
+    least = np.full(BANDS * ROWS, 0xFFFFFFFF, np.uint32)
+    for at in range(0, len(low), block):
+        np.minimum(least, ((low[None, at : at + block] ^ _XOR) * _TIMES).min(axis=1), out=least)
+    raw, width = least.tobytes(), 4 * ROWS
+    return np.array([xxhash.xxh64_intdigest(raw[k * width : (k + 1) * width], k) for k in range(BANDS)], np.uint64).view(np.int64)
+
+
+def _prints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        hashes, sizes, keys = [], [], []
+        for x in batch.column(1).cast(pa.large_binary()):
+            found = shingles(x.as_buffer().to_pybytes()) if x.is_valid else np.zeros(0, np.uint64)
+            hashes.append(xxhash.xxh64_intdigest(found.tobytes(), SEED))
+            sizes.append(len(found))
+            keys.append(band_keys(found))
+        own = pa.array(np.array(hashes, np.uint64).view(np.int64))
+        yield pa.RecordBatch.from_arrays([batch.column(0), own, pa.array(sizes, pa.int64()), pa.array(keys, pa.list_(pa.int64()))], ["doc_id", "h", "n", "keys"])
+
+
+def _compare(least: float):
+    def compare(table: pa.Table) -> pa.Table:
+        side = table.column("side").to_numpy()
+        ids = table.column("id").to_numpy()
+        sets = [shingles(x or b"") for x in table.column("text").cast(pa.large_binary()).to_pylist()]
+        members = [s for s, one in zip(sets, side, strict=True) if one == 0]
+        sizes = np.array([len(s) for s in members], np.int64)
+        every = np.concatenate([*members, np.zeros(0, np.uint64)])
+        order = np.argsort(every, kind="stable")
+        every, owner = every[order], np.repeat(np.arange(len(members)), sizes)[order]
+        linked = []
+        for one, i, s in zip(side, ids, sets, strict=True):
+            if not one or not len(s) or not len(every):
+                continue
+            low, high = np.searchsorted(every, s), np.searchsorted(every, s, "right")
+            times = high - low
+            at = np.repeat(low - np.cumsum(times) + times, times) + np.arange(times.sum())
+            both = np.bincount(owner[at], minlength=len(members))
+            if (both / (len(s) + sizes - both) >= least).any():
+                linked.append(i)
+        return pa.table({"src": pa.array(linked, pa.int64()), "dst": pa.array([table.column("hub")[0].as_py()] * len(linked), pa.int64())})
+
+    return compare
+
+
+def checked(pairs: DataFrame, members: DataFrame, docs: DataFrame, least: float = LEAST) -> DataFrame:
+    """(src, dst) of the pairs (id, hub) where the text is similar enough to one of the hub's texts, members (hub, id).
+
+    Both sides are dealt into parts of DEALT texts, and each part of one meets each of the other in a task.
+    """
+    pairs, members = materialize(pairs), materialize(members)
+    ids = pairs.select(F.col("id").alias("doc_id")).union(members.select("id")).distinct()
+    if ids.count() <= BROADCAST_ROWS:
+        ids = F.broadcast(ids)
+    texts = docs.select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string")).join(ids.withColumnRenamed("doc_id", "id"), "id", "left_semi")
+    parts = lambda df, name: df.groupBy("hub").agg(F.ceil(F.count(F.lit(1)) / DEALT).alias(name))
+    dealt = materialize(parts(pairs, "q").join(parts(members, "m"), "hub"))
+    every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
+    own = lambda n: F.pmod(F.xxhash64("id"), n)
+    left = members.join(dealt, "hub").select("hub", own("m").alias("a"), every("q").alias("b"), F.lit(0).alias("side"), "id")
+    right = pairs.join(dealt, "hub").select("hub", every("m").alias("a"), own("q").alias("b"), F.lit(1).alias("side"), "id")
+    rows = left.union(right).join(texts, "id").select("hub", "a", "b", "side", "id", "text")
+    return map_groups(rows, ["hub", "a", "b"], _compare(least), "src long, dst long")
+
+
+def links(bands: DataFrame, docs: DataFrame, least: float = LEAST) -> DataFrame:
+    """(node, component) over the texts (rep, n, key) that share a key and are similar enough.
+
+    All of a key's texts are first compared with the smallest one, which joins most copies in a linear number of
+    comparisons. Where components still share a key, those texts of the smaller one that have the key are compared
+    with all of the larger one, so every pair that shares a key is either compared or joined by then.
+    """
+    several = bands.groupBy("key").agg(F.min(F.struct("rep", "n")).alias("hub"), F.count(F.lit(1)).alias("texts")).where("texts > 1")
+    met = materialize(bands.join(several, "key").select("key", "rep", "n", "hub"))
+    near = F.least("n", "hub.n") >= least * F.greatest("n", "hub.n")
+    first = materialize(met.where((F.col("rep") != F.col("hub.rep")) & near).select(F.col("rep").alias("id"), F.col("hub.rep").alias("hub")).distinct())
+    edges = materialize(checked(first, first.select("hub", F.col("hub").alias("id")).distinct(), docs, least))
+    named = connected_components(edges).withColumnRenamed("node", "rep")
+    now = met.select("key", "rep", "n").join(named, "rep", "left").withColumn("component", F.coalesce("component", "rep"))
+    apart = now.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("key")
+    rest = materialize(now.join(apart, "key"))
+    everyone = now.select("component", "rep").distinct()
+    sizes = everyone.groupBy("component").agg(F.count(F.lit(1)).alias("size"))
+    sides = materialize(rest.groupBy("key", "component").agg(F.min("n").alias("low"), F.max("n").alias("high")).join(sizes, "component"))
+    a, b = sides.alias("a"), sides.alias("b")
+    smaller = F.struct("a.size", "a.component") < F.struct("b.size", "b.component")
+    overlap = (F.col("a.high") >= least * F.col("b.low")) & (F.col("b.high") >= least * F.col("a.low"))
+    meet = a.join(b, (F.col("a.key") == F.col("b.key")) & smaller & overlap).select("a.key", "a.component", F.col("b.component").alias("hub"))
+    second = materialize(rest.join(meet, ["key", "component"]).select(F.col("rep").alias("id"), "hub").distinct())
+    larger = everyone.withColumnRenamed("component", "hub").join(second.select("hub").distinct(), "hub", "left_semi").select("hub", F.col("rep").alias("id"))
+    return connected_components(edges.union(checked(second, larger, docs, least)))
+
+
+def one_of_each(docs: DataFrame, least: float = LEAST) -> DataFrame:
+    """The rows of docs, all their columns as they are, but of texts linked by a similarity of `least` only the smallest doc_id.
+
+    Null and empty texts are alike. Of rows that repeat that doc_id the first by text stays. Rows without a doc_id all stay.
+    """
+    prints = docs.where("doc_id is not null").select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(_prints, "doc_id long, h long, n long, keys array<long>")
+    # Texts of the same shingles are one class with the smallest doc_id as its node.
+    classes = materialize(prints.groupBy("h", "n").agg(F.min("doc_id").alias("rep"), F.first("keys").alias("keys")))
+    components = links(classes.select("rep", "n", F.explode("keys").alias("key")), docs, least)
+    kept = classes.join(components.withColumnRenamed("node", "rep"), "rep", "left").where("component is null or component = rep").select(F.col("rep").alias("doc_id")).distinct()
+    return smallest_of_each(docs, kept)

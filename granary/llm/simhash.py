@@ -143,7 +143,11 @@ def one_of_each(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
 
     Of rows that repeat that doc_id the first by text stays. Rows without a doc_id all stay.
     """
-    kept = near_duplicates(docs, radius).where("doc_id = component_id").select("doc_id").distinct()
+    return smallest_of_each(docs, near_duplicates(docs, radius).where("doc_id = component_id").select("doc_id").distinct())
+
+
+def smallest_of_each(docs: DataFrame, kept: DataFrame) -> DataFrame:
+    """The rows of docs whose doc_id is kept, the first by text of each, and all without a doc_id."""
     out = docs.join(kept, "doc_id", "left_semi")
     if not docs.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").isEmpty():
         number = F.row_number().over(Window.partitionBy("doc_id").orderBy("text"))

@@ -195,3 +195,34 @@ def test_lists_stop_early_and_are_exact():
         assert sorted(zip((-scores).tolist(), rows.tolist(), strict=True))[:5] == best
         assert i == 0 or len(rows) < 1500
     assert min(depths) < 3000
+
+
+def jaccard_links(texts, words=5, least=0.8):
+    def shingled(text):
+        t = (text or "").encode().lower().split()
+        return frozenset(tuple(t[i : i + words]) for i in range(max(1, len(t) - words + 1)))
+
+    sets = {i: shingled(t) for i, t in texts.items()}
+    return [(a, b) for a in sets for b in sets if a < b and len(sets[a] & sets[b]) / len(sets[a] | sets[b]) >= least]
+
+
+def test_pipeline_stage_keeps_one_of_similar_texts(spark):
+    import random
+
+    import corpus_pipeline
+
+    r = random.Random(5)
+    word = lambda: "".join(r.choice("abcdefgh") for _ in range(6))
+    texts = {}
+    for g in range(25):
+        base = [word() for _ in range(r.choice([3, 30, 120, 600]))]
+        texts[100 * g] = " ".join(base)
+        for k in range(1, 8):
+            other = list(base)
+            for _ in range(r.randint(0, max(1, len(base) // 40))):
+                other[r.randrange(len(base))] = word()
+            texts[100 * g + k] = " ".join(other)
+    texts |= {9000: None, 9001: "", 9002: "  "}
+    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(5)
+    out = [x.doc_id for x in corpus_pipeline.drop_near_duplicates(spark, df, "").collect()]
+    assert sorted(out) == sorted(set(components(texts, jaccard_links(texts)).values()))
