@@ -13,8 +13,8 @@ from pyspark.sql import functions as F
 
 from granary.llm.common import materialize
 
-#: A subtree is a template's if it is on so many different pages of its host, and on so large a share of them.
-MIN_PAGES, MIN_SHARE = 5, 0.3
+#: A subtree is a template's if it is on so many different pages of its host, however many pages the host has.
+MIN_PAGES = 5
 #: Pages with templates to remove that are broadcast; more are joined by a shuffle.
 BROADCAST_ROWS = 50_000
 
@@ -243,10 +243,11 @@ def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column("page_id"), batch.column("url"), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], ["page_id", "url", "text", "n_chars"])
 
 
-def extract(pages: DataFrame, min_pages: int = MIN_PAGES, min_share: float = MIN_SHARE) -> DataFrame:
+def extract(pages: DataFrame, min_pages: int = MIN_PAGES) -> DataFrame:
     """(page_id, url, text, n_chars) for every row of pages.
 
-    A subtree that recurs on at least min_pages pages of its host, and on min_share of them, is removed. Pages of equal
+    A subtree that recurs on at least min_pages pages of its host is removed, be it a small share of them: templates of
+    a section or a language are on few of a large host's pages. Pages of equal
     main text count as one, so copies of a page don't remove its text; inside an article only containers can be a
     template's, never paragraphs, headings or list items themselves. Pages whose url has no host count as one host.
     A null html gives the empty text; rows that repeat a page_id are extracted each, and share what is removed. Rows
@@ -255,10 +256,7 @@ def extract(pages: DataFrame, min_pages: int = MIN_PAGES, min_share: float = MIN
     rows = pages.select(F.col("page_id").cast("long"), F.col("url").cast("string"), F.col("html").cast("string"))
     hosted = rows.where("page_id is not null").select("page_id", host_of("url").alias("host"), "html")
     found = materialize(hosted.mapInArrow(_candidates, "page_id long, host string, sub long, body long"))
-    pages_with = found.select("host", "sub", "body").distinct().groupBy("host", "sub").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= min_pages)
-    # Pages without any such subtree have nothing to lose and aren't counted.
-    bodies = found.select("host", "body").distinct().groupBy("host").agg(F.count(F.lit(1)).alias("pages"))
-    recurring = pages_with.join(bodies, "host").where(F.col("n") >= min_share * F.col("pages")).select("host", "sub")
+    recurring = found.select("host", "sub", "body").distinct().groupBy("host", "sub").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= min_pages).select("host", "sub")
     gone = materialize(found.join(recurring, ["host", "sub"]).groupBy("page_id").agg(F.collect_set("sub").alias("gone")))
     if gone.count() <= BROADCAST_ROWS:
         gone = F.broadcast(gone)

@@ -37,6 +37,15 @@ def test_templates_go_and_copies_stay(spark):
     assert H.extract(spark.createDataFrame([], "page_id long, url string, html string")).collect() == []
 
 
+def test_templates_on_a_tenth_of_a_hot_host_go(spark):
+    box = "<div><div>Nur auf deutschen Seiten</div></div>"
+    rows = [(i, f"https://hot.example/{i}", f"<body><article><p>text number {i}</p>{box if i % 10 == 0 else ''}</article></body>") for i in range(300)]
+    rows += [(1000 + i, f"https://rare.example/{i}", f"<body><article><p>text number {i}</p>{box if i < 4 else ''}</article></body>") for i in range(12)]
+    text = {r.page_id: r.text for r in H.extract(spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3)).collect()}
+    assert all(text[i] == f"text number {i}" for i in range(300))
+    assert text[1000] == "text number 0\n\nNur auf deutschen Seiten"
+
+
 def test_extraction_of_the_pages(spark):
     from html import unescape
 
