@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from granary.llm import packing, shingles, suffix_dedup, toxicity
+from granary.llm import packing, simhash, suffix_dedup, toxicity
 from granary.llm.common import materialize
 
 
@@ -14,8 +14,8 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One of each group of texts linked by a Jaccard similarity of 0.8 on shingles of five words; op3's radius holds for op3 only."""
-    return shingles.one_of_each(docs)
+    """One of each group of texts linked by a Jaccard similarity of 0.8 on shingles of five words: SimHash tiles, then an exact check."""
+    return simhash.one_of_each(docs)
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

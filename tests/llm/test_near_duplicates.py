@@ -101,6 +101,46 @@ def test_close_fingerprints_meet_across_tiles(spark):
     assert components(range(len(prints)), [(e.src, e.dst) for e in edges]) == want
 
 
+def shingle_set(text):
+    words = [w for w in (text or "").translate({i: i + 32 for i in range(65, 91)}).encode().split() if w]
+    return frozenset(tuple(words[i : i + 5]) for i in range(max(1, len(words) - 4))) if words else frozenset()
+
+
+def similar_groups(rows):
+    """The smallest id of each group of texts linked by a similarity of 0.8, by comparing all pairs; rows of one id are one document."""
+    sets = [(d, shingle_set(t)) for d, t in rows if d is not None]
+    pairs = []
+    for (a, x), (b, y) in combinations(sets, 2):
+        both = len(x & y)
+        if x == y or 5 * both >= 4 * (len(x) + len(y) - both):
+            pairs.append((a, b))
+    return components({d for d, _ in sets}, pairs)
+
+
+@pytest.mark.parametrize("tile", [32768, 8])
+def test_similar_groups_match_brute_force(spark, monkeypatch, tile):
+    monkeypatch.setattr(simhash.similar_links, "__defaults__", (0.8, tile, 4 << 20 if tile > 8 else 400))
+    r = random.Random(11)
+    word = lambda: r.choice("abcdefghijkl") + str(r.randint(0, 60))
+    rows = [(i, " ".join(word() for _ in range(r.choice([0, 3, 5, 8, 9, 30, 60, 200])))) for i in range(60)]
+    for i in range(60, 300):
+        t = (r.choice(rows)[1] or "").split()
+        for _ in range(r.randint(0, 3)):
+            k = r.randint(0, len(t))
+            t[k : k + r.randint(0, 2)] = [word()] * r.randint(0, 2)
+        rows.append((i, " \t".join(t).upper() if r.random() < 0.3 else " ".join(t)))
+    rows += [(400, None), (401, ""), (402, " \n"), (403, "one two"), (404, "One TWO"), (405, "x " * 30000), (406, rows[5][1]), (406, rows[9][1]), (None, rows[5][1])]
+    df = spark.createDataFrame([(d, t, "x", 1) for d, t in rows], "doc_id long, text string, fp string, n int").repartition(3)
+    got = {r.doc_id: r.component_id for r in simhash.similar(df).collect()}
+    assert got == similar_groups(rows)
+    assert len(set(got.values())) < len(got) - 40
+
+
+def test_similar_groups_of_a_table(spark):
+    rows = [(x.doc_id, x.text) for x in spark.read.parquet(f"{DATA}/documents.parquet").select("doc_id", "text").collect()]
+    assert {x.doc_id: x.component_id for x in simhash.similar(spark.read.parquet(f"{DATA}/documents.parquet")).collect()} == similar_groups(rows)
+
+
 def test_one_of_each(spark):
     rows = [(1, "a b c d", "p"), (2, "A b c d", "q"), (1, "a b c d", "r"), (None, "a b c d", "s"), (3, "other words here now", None)]
     out = simhash.one_of_each(spark.createDataFrame(rows, "doc_id long, text string, component_id string"))

@@ -86,8 +86,8 @@ def test_without_labels(spark):
 
 def test_pipeline_stages_match_brute_force(spark, tmp_path):
     import corpus_pipeline as P
-    from granary.llm import packing, simhash
-    from tests.llm.test_near_duplicates import components, slow_fingerprint
+    from granary.llm import packing
+    from tests.llm.test_near_duplicates import similar_groups
     from tests.llm.test_suffix_dedup import brute
 
     sf = "/root/testdata/sf0.001"
@@ -104,8 +104,7 @@ def test_pipeline_stages_match_brute_force(spark, tmp_path):
     scores = {r.doc_id: r.predicted for r in T.toxicity(docs, spark.read.parquet(f"{sf}/labels.parquet")).collect()}
     first = {r.doc_id: r.text for r in seen[0].collect()}
     assert set(first) == {d for d, p in scores.items() if not p}
-    prints = {d: slow_fingerprint(t) for d, t in first.items()}
-    groups = components(prints, [(a, b) for a in prints for b in prints if a < b and (prints[a] ^ prints[b]).bit_count() <= simhash.RADIUS])
+    groups = similar_groups(list(first.items()))
     second = {r.doc_id: r.text for r in seen[1].collect()}
     assert set(second) == set(groups.values())
     want = brute(list(second.items()))
@@ -120,6 +119,23 @@ def test_pipeline_stages_match_brute_force(spark, tmp_path):
     assert total.keys() == third.keys()
 
 
+def test_pipeline_on_nulls_and_repeated_rows(spark, tmp_path):
+    import corpus_pipeline as P
+
+    texts = ["plain words of a short text here", None, "", "x", "long " * 9000]
+    rows = [(i, t) for i, t in [*enumerate(texts), *enumerate(texts), *((None, t) for t in texts), (7, texts[0])]]
+    docs = spark.createDataFrame([(i, t, "en", "a.com", len(t or "")) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    docs.repartition(3).write.parquet(str(tmp_path / "documents.parquet"))
+    spark.read.parquet("/root/testdata/sf0.001/labels.parquet").write.parquet(str(tmp_path / "labels.parquet"))
+    kept = docs
+    for _, stage in P.STAGES[:3]:
+        kept = stage(spark, kept, str(tmp_path))
+    # One row of each id that begins a group, and all without an id; null, empty and blank texts are one group.
+    assert sorted((r.doc_id is None, r.doc_id or 0) for r in kept.collect()) == [(False, 0), (False, 1), (False, 3), (False, 4)] + [(True, 0)] * 5
+    packed = P.run(spark, str(tmp_path)).collect()
+    assert {r.doc_id for r in packed} == {0, 1, 3, 4, None}
+
+
 def test_pipeline_on_empty_documents(spark, tmp_path):
     import corpus_pipeline as P
 
