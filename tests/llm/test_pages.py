@@ -1,4 +1,6 @@
 import re
+import time
+from html.parser import HTMLParser
 
 import pytest
 
@@ -13,13 +15,74 @@ PAGE = "<html><head><title>t</title><style>p{}</style></head><body><header>site<
     [
         (PAGE, "A & B\n\none two three\n\nfour five\n\na\n\nb"), ("", ""), (None, ""), ("plain &lt;text&gt; &eacute;&#65;", "plain <text> éA"), ("<p>a<p>b<div>c</div>d", "a\n\nb\n\nc\n\nd"),
         ("<main><p>m</p></main><p>out</p>", "m"), ("<script>never closed", ""), ("a < b &amp;lt; c", "a < b &lt; c"), ("<p>x&nbsp;&nbsp;y z</p>", "x y z"), ("<!-- <p>no</p> --><p>yes", "yes"),
-        ("<article><header><h1>T</h1><span>by me</span></header><p>x</p></article>", "T\n\nx"), ("<ARTICLE><P CLASS='lead'>Up</P></ARTICLE>", "Up"), ("<div role=navigation>n</div><div>t</div>", "t"),
+        ("<article><header><h1>T</h1><span>by me</span></header><p>x</p></article>", "T\n\nx"), ("<ARTICLE><P CLASS='lead'>Up</P></ARTICLE>", "Up"), ("<div role=navigation>n</div><div>text</div>", "text"),
+        ('<article><div class="entry-header"><h1>Title</h1></div><p>Body</p></article>', "Title\n\nBody"), ("<form><input><main><p>m text</p></main></form>", "m text"),
+        ('<article><h1>x</h1><p>text of the article</p><section id="related-work"><p>w</p></section></article>', "x\n\ntext of the article\n\nw"),
+        ("<p>a <img src=x> b <button>no</button>c<script>z</script>d</p>", "a b cd"), ('<article><p>a main text</p><p>q <span class="ad">buy</span> r</p></article>', "a main text\n\nq r"),
+        ("<a title='x>y'>z</a> <!---->w", "z w"), ("<p>a</p><div class=x'>b", "a\n\nb"), ("<article><p>the text</p><div id='site-comments'>c</div><form>f</form></article>", "the text"),
     ],
 )
 def test_main_text(html, want):
     assert H.main_text(html) == want
 
 
+@pytest.mark.parametrize(
+    "html",
+    ["<div>x" * 100_000, "<a '" * 250_000, "<ul>" + "<div>" * 50_000 + "<li>x" * 50_000, "<div>" * 50_000 + "</p></b>" * 50_000, '<a "' * 200_000 + ">", "<p><b>" * 100_000, "<" * 500_000, "<!" * 500_000, "<script" * 100_000 + ">", "<x" * 300_000 + "y" * 9],
+)
+def test_broken_and_deep_pages_take_linear_time(html):
+    begin = time.process_time()
+    H.main_text(html)
+    assert time.process_time() - begin < 10
+
+
+class Twin(HTMLParser):
+    """Text of the article by the standard library's parser: another reader of the same pages."""
+
+    def __init__(self):
+        super().__init__(convert_charrefs=True)
+        self.inside, self.blocks = False, [[]]
+
+    def handle_starttag(self, tag, attrs):
+        self.inside = self.inside or tag == "article"
+        if tag == "br":
+            self.blocks[-1].append(" ")
+        elif tag not in ("b", "a"):
+            self.blocks.append([])
+
+    def handle_endtag(self, tag):
+        self.inside = self.inside and tag != "article"
+        if tag not in ("b", "a"):
+            self.blocks.append([])
+
+    def handle_data(self, data):
+        if self.inside:
+            self.blocks[-1].append(data)
+
+
+def test_extraction_agrees_with_another_parser(spark):
+    pages = spark.read.parquet("/root/testdata/sf0.01/pages.parquet")
+    html = {r.page_id: r.html for r in pages.collect()}
+    got = {r.page_id: r.text for r in H.extract(pages).collect()}
+    assert got.keys() == html.keys()
+    for k, x in html.items():
+        twin = Twin()
+        twin.feed(x)
+        assert got[k] == "\n\n".join(b for block in twin.blocks if (b := " ".join("".join(block).split())))
+
+
+def test_templates_are_counted_alike_when_joined(spark):
+    boxes = [f"<div>box {k} <ul><li>a<li>b</ul></div>" for k in range(4)]
+    rows = [(i, f"https://h{i % 3}.example/{i}", f"<body>{boxes[i % 4]}<div><p>page {i} has its own long text here</p></div></body>") for i in range(120)]
+    df = spark.createDataFrame([*rows, (None, None, rows[0][2]), (7, *rows[7][1:])], "page_id long, url string, html string").repartition(3)
+    one, other = (sorted(map(str, H.extract(df, broadcast=n).collect())) for n in (500_000, 0))
+    assert one == other
+    text = {r.page_id: r.text for r in H.extract(df).collect()}
+    assert all(text[i] == f"page {i} has its own long text here" for i in range(120)) and text[None].startswith("box 0")
+    untouched = {r.page_id: r.text for r in H.extract(df, min_pages=1000).collect()}
+    assert all(untouched[i] != text[i] for i in range(120))
+
+
 def test_templates_go_and_copies_stay(spark):
     box = "<div><div>Follow our letters</div></div>"
     rows = [(i, f"http://u:p@Host.example:80/{i}", f"<body><article><p>text number {i}</p><p>shared paragraph</p>{box}</article></body>") for i in range(8)]
