@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from granary.functions import images, meta
 from granary.functions import text as T
-from granary.operators import chunking, filters, headers, incremental, ingest, retrieval
+from granary.operators import chunking, filters, frontmatter, headers, incremental, ingest, retrieval
 from granary.sources import files
 from granary.streaming.ingest import index_new
 
@@ -341,3 +341,22 @@ def test_embedder_is_built_again_after_zero_vectors(spark):
 
     rows = spark.createDataFrame([(1, "a b"), (2, "")], "id long, text string").coalesce(1)
     assert {r.id: r.issue for r in embedded(rows, make=make).collect()} == {1: None, 2: "zero"}
+
+
+def test_repaired_front_matter():
+    lines = ["title: Error: Cannot Find", "tags: [a, b]", 'said: "so" it is: x', "date: 2024-01-02", "at: @x"]
+    fixed, keys = frontmatter.repaired(lines)
+    assert keys == ["title", "said", "at"]
+    assert fixed[0] == 'title: "Error: Cannot Find"' and fixed[2] == 'said: "\\"so\\" it is: x"' and fixed[1] == lines[1] and fixed[3] == lines[3]
+    assert frontmatter.repaired(['a: "two', '  lines"', "b: c"]) == (['a: "two', '  lines"', "b: c"], [])
+
+
+def test_caption_levels():
+    cap = lambda *lines, heading="Part", title="Doc", refs=("img.png",): images.caption_of(heading, list(lines), title, f"Doc > {heading}", list(refs))
+    assert cap("![alt](a.png)", "", "图注：what it shows") == ("what it shows", "explicit")
+    assert cap("<!-- caption: hidden --><img src=a>") == ("hidden", "explicit")
+    assert cap("text before it", "![ alt ](a.png) ![more](b.png)") == ("alt；more", "alt")
+    assert cap("**prose above the image**", "short", "![](a.png)") == ("Part: prose above the image", "context")
+    assert cap("![](a.png)", refs=["x/Conveyor%20Direction_Arrows.png", "img_1.png"]) == ("Doc > Part（图：Conveyor Direction Arrows）", "filename")
+    assert cap("![](a.png)") == ("Doc > Part", "heading")
+    assert images.caption_of("", [], "", "", []) == ("", "")
