@@ -37,11 +37,11 @@ def shuffle_width(spark: SparkSession) -> int:
 def hashed_sample(df: DataFrame, key: str, n: int) -> list[Row]:
     """About n rows (all, if there are no more), the same ones for the same table: those whose key hashes low.
 
-    Only they reach the driver, 2 * n at most where rows repeat a key.
+    Only they reach the driver, 2 * n at most where rows repeat a key; of those the first by all their columns.
     """
     total = df.count()
     if total > n:
-        df = df.where(F.xxhash64(key) <= F.lit(int(n / total * 2**64) - 2**63)).limit(2 * n)
+        df = df.where(F.xxhash64(key) <= F.lit(int(n / total * 2**64) - 2**63)).orderBy(F.xxhash64(key), F.xxhash64(*df.columns)).limit(2 * n)
     return sorted(df.collect(), key=lambda r: (r[key] is not None, r[key]))
 
 

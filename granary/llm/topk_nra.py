@@ -22,10 +22,17 @@ def quantised(vector: str, scale: int = 256) -> Column:
 
 
 class Lists:
-    """One list a dimension, sorted by component, over a shard's vectors; read from either end."""
+    """One list a dimension, sorted by component, over a shard's vectors; read from either end.
+
+    Bounds are sums in double precision with slack for their rounding; scores are integer sums.
+    """
 
     def __init__(self, x: np.ndarray):
+        self.whole = x
         self.x = x.astype(np.float64)
+        self.most = np.abs(self.x).max(axis=0)
+        #: Rows asked, and sums of the shares of the lists that were read for them.
+        self.asked, self.read_share = 0, 0.0
         n, d = x.shape
         order = np.argsort(self.x, axis=0, kind="stable")
         self.place = np.empty((n, d), np.int32)
@@ -70,12 +77,14 @@ class Lists:
                     high[j, own[i][0] : own[i][1]] = low[j, own[i][0] : own[i][1]] = -np.inf
                 best = min(k, n)
                 bar = np.partition(low, n - best, axis=1)[:, n - best]
-                fit = (high >= bar[:, None]) & (high > -np.inf)
+                slack = np.abs(q[block].astype(np.float64)) @ self.most * (1e-15 * q.shape[1])
+                fit = (high >= (bar - slack)[:, None]) & (high > -np.inf)
                 counts = fit.sum(axis=1)
                 for j, i in enumerate(block):
                     if counts[j] <= few or depth == n:
                         found = np.flatnonzero(fit[j])
-                        out[i] = (found, (self.x[found] @ q[i]).astype(np.int64))
+                        out[i] = (found, self.whole[found] @ q[i])
+                        self.asked, self.read_share = self.asked + 1, self.read_share + depth / n
                     else:
                         going.append(i)
             active, depth = np.array(going, np.int64), depth * 2
@@ -98,7 +107,7 @@ def _search(k: int):
             best = np.lexsort((names[rows], -scores))[:k]
             out.append((np.full(len(best), ids[i]), names[rows[best]], scores[best]))
         query, found, score = (np.concatenate(c) for c in zip(*out, strict=True))
-        return pa.table({"query_id": query, "vec_id": found, "score": score.astype(np.int64)})
+        return pa.table({"query_id": query, "vec_id": found, "score": score})
 
     return search
 
@@ -106,7 +115,7 @@ def _search(k: int):
 def top_k(df: DataFrame, k: int = 5, every: int = 50, id_col: str = "vec_id", vector: str = "embedding", shard: int = SHARD, queries: int = QUERIES) -> DataFrame:
     """(query_id, rank, vec_id, score): for each vector whose id is divisible by `every`, the k best others.
 
-    Scores are integer inner products of floor(256 * x); ties go to the smaller vec_id. Vectors that are null or hold a
+    Scores are integer inner products of floor(256 * x), exact as far as they fit a long; ties go to the smaller vec_id. Vectors that are null or hold a
     null or non-finite component, and rows without an id, take no part; vectors are compared with those of their own
     length; rows that repeat an id count once. Fewer candidates than k: all of them. Other columns are ignored.
 

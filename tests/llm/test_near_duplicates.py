@@ -266,3 +266,14 @@ def test_pipeline_stage_keeps_one_of_similar_texts(spark):
     df = spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(5)
     out = [x.doc_id for x in corpus_pipeline.drop_near_duplicates(spark, df, "").collect()]
     assert sorted(out) == sorted(set(components(texts, jaccard_links(texts)).values()))
+
+
+def test_large_components_have_exact_scores(spark):
+    r = random.Random(8)
+    rows = [(i, [r.randint(-(10**6), 10**6) + r.random() for _ in range(64)]) for i in range(120)]
+    rows += [(200, [-x for x in rows[0][1]]), (201, rows[0][1]), (250, rows[50][1])]
+    got = topk_nra.top_k(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), shard=40).collect()
+    whole = {i: [int(256 * x // 1) for x in v] for i, v in rows}
+    for q in (0, 50, 100, 200, 250):
+        scores = sorted(((-sum(a * b for a, b in zip(whole[q], whole[i])), i) for i in whole if i != q))[:5]
+        assert [(x.vec_id, -x.score) for x in sorted((g for g in got if g.query_id == q), key=lambda g: g.rank)] == [(i, s) for s, i in scores]
