@@ -7,6 +7,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 import zstandard
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -26,6 +27,8 @@ STRIDE = 1 << 18
 SLICE, ARRAY = 1 << 16, 1 << 12
 #: Anchors of one hash, beyond which their windows are sent out by their own hashes instead of meeting in one array.
 HOT = 1 << 11
+#: Bytes of text a bucket of anchors comes from, about: 26 bytes of anchors for each 35 of text.
+BUCKET = 128 << 20
 #: A context is the text of consecutive windows that share an anchor, never longer than this.
 CONTEXT = LENGTH + WINDOW - 1
 
@@ -33,12 +36,11 @@ CONTEXT = LENGTH + WINDOW - 1
 RECORD = np.dtype([("hash", "<u8"), ("doc", "<i8"), ("copy", "<i4"), ("lo", "<i4"), ("anchor", "u1"), ("span", "u1")])
 SPAN = np.dtype([("doc", "<i8"), ("copy", "<i4"), ("lo", "<i4"), ("hi", "<i4")])
 PAIR = np.dtype([("lo", "<i4"), ("hi", "<i4")])
-#: A window by two independent hashes of its LENGTH bytes.
+#: A window by the two halves of a 128-bit hash of its LENGTH bytes.
 WINDOWED = np.dtype([("h1", "<u8"), ("h2", "<u8"), ("doc", "<i8"), ("copy", "<i4"), ("lo", "<i4")])
 
 _MULTIPLY = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93)]
 _MIX = np.uint64(0xFF51AFD7ED558CCD)
-_WEIGHTS = np.random.default_rng(20240101).integers(0, 2**64, (LENGTH, 2), np.uint64) | np.uint64(1)
 
 
 def packed(rows: np.ndarray, more: bytes = b"") -> bytes:
@@ -272,14 +274,14 @@ def _array_spans(records: np.ndarray, rows: np.ndarray) -> list[np.ndarray]:
 
 
 def windowed(text: np.ndarray, records: np.ndarray, doc: int, copy: int) -> np.ndarray:
-    """Every window of the records by its own hashes."""
+    """Every window of the records by a 128-bit hash of its bytes, which no two different windows share in practice."""
     count = records["span"].astype(np.int64) + 1
     lo = np.repeat(records["lo"], count) + np.arange(int(count.sum())) - np.repeat(np.cumsum(count) - count, count)
     out = np.zeros(len(lo), WINDOWED)
     out["doc"], out["copy"], out["lo"] = doc, copy, lo
-    for at in range(0, len(lo), 4096):
-        hashed = text[lo[at : at + 4096, None] + np.arange(LENGTH)].astype(np.uint64) @ _WEIGHTS
-        out["h1"][at : at + 4096], out["h2"][at : at + 4096] = hashed[:, 0], hashed[:, 1]
+    raw, digest = memoryview(text), xxhash.xxh3_128_digest
+    hashed = np.frombuffer(b"".join([digest(raw[i : i + LENGTH]) for i in lo.tolist()]), "<u8").reshape(-1, 2)
+    out["h1"], out["h2"] = hashed[:, 0], hashed[:, 1]
     return out
 
 
@@ -516,12 +518,14 @@ def remove_repeats(docs: DataFrame, keep_text: bool = False) -> DataFrame:
     A window's anchor depends on its bytes alone, so equal windows meet under one anchor hash. Each task combines equal
     contexts of its own chunk first; anchors whose hash is not met again go, and only the contexts of the others are
     sent out and compared, in enhanced suffix arrays of bounded size. Anchors met more than HOT times, as those of a very
-    common line are, don't meet in one array: their windows are sent out by hashes of all their bytes, the earliest of
-    each task only, so a common string costs a task no more than a row for each other task. The texts are shuffled once by
+    common line are, don't meet in one array: their windows are sent out by 128-bit hashes of all their bytes, the
+    earliest of each task only, so a common string costs a task no more than a row for each other task. That changes the
+    plan, not the result. Buckets grow in number with the text, so what a task holds of them doesn't. The texts are shuffled once by
     document for both joins; anchors cost 26 bytes for each 35 of text, before compression.
     """
     spark = docs.sparkSession
-    buckets = 2 * shuffle_width(spark)
+    size = docs.agg(F.sum(F.octet_length(F.col("text").cast("string")))).first()[0] or 0
+    buckets = max(2 * shuffle_width(spark), size // BUCKET)
     columns = list(docs.columns)
     clash = {c: f"_own_{i}_{c}" for i, c in enumerate(columns) if c.lower() not in ("doc_id", "text")}
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), *[F.col(f"`{c}`").alias(n) for c, n in clash.items()])

@@ -123,3 +123,12 @@ def test_hot_anchors(spark, monkeypatch, seed):
         monkeypatch.setattr(S, "map_groups", tables)
         setattr(S, name, real)
         assert found == want
+
+
+def test_matches_brute_force_on_a_table(spark):
+    """All of sf0.001 with one line that opens every text, in surroundings of its own."""
+    line = "This line of more than a hundred bytes opens each and every document of the corpus, whatever else it holds; "
+    rows = [(x.doc_id, line + (x.text or "")) for x in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect()]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    found = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in S.remove_repeats(df).collect()}
+    assert found == {k: v[0] for k, v in brute(rows).items()}
