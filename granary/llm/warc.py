@@ -47,6 +47,16 @@ def digest(data: bytes) -> str:
     return "sha1:" + base64.b32encode(hashlib.sha1(data).digest()).decode()
 
 
+def matches(claimed: str, data: bytes) -> bool:
+    """Whether data has the digest "algorithm:value", in base32 or hexadecimal and any case; unknown algorithms can't be told and pass."""
+    name, _, value = claimed.partition(":")
+    name = name.strip().lower().replace("-", "")
+    if name not in ("md5", "sha1", "sha256", "sha384", "sha512"):
+        return True
+    own = hashlib.new(name, data).digest()
+    return value.strip().lower().rstrip("=") in (own.hex(), base64.b32encode(own).decode().lower().rstrip("="))
+
+
 def record_id(*parts: str) -> str:
     """The same id for the same parts, so that a task that runs again writes the same records."""
     return f"<urn:uuid:{uuid.UUID(bytes=hashlib.sha256('\x1f'.join(parts).encode('utf-8', 'surrogatepass')).digest()[:16], version=5)}>"
@@ -58,7 +68,12 @@ def field_value(text: str) -> str:
 
 
 def parse(data: bytes) -> Iterator[Record]:
-    """Records of an uncompressed file; a folded line continues the value before it."""
+    """Records of an uncompressed file."""
+    return (record for record, _ in located(data))
+
+
+def located(data: bytes) -> Iterator[tuple[Record, int]]:
+    """Records of an uncompressed file, each with the place after it; a folded line continues the value before it."""
     at = 0
     while at < len(data):
         if data.startswith(b"\r\n", at):
@@ -79,8 +94,8 @@ def parse(data: bytes) -> Iterator[Record]:
         block = data[end + 4 : end + 4 + size]
         if len(block) != size:
             raise ValueError("a record's block is cut off")
-        yield Record(fields, block)
-        at = end + 4 + size + 4
+        at = min(end + 4 + size + 4, len(data))
+        yield Record(fields, block), at
 
 
 def split_http(block: bytes) -> tuple[str, list[tuple[str, str]], bytes]:
@@ -116,7 +131,7 @@ def derive(source: Record) -> tuple[Record, Record]:
     """
     status, headers, payload = split_http(source.block)
     claimed = source.get("WARC-Payload-Digest")
-    if claimed and claimed != digest(payload):
+    if claimed and not matches(claimed, payload):
         raise ValueError("the payload doesn't match its digest")
     own, uri, date = source.get("WARC-Record-ID") or "", source.get("WARC-Target-URI") or "", source.get("WARC-Date") or DATE
     html = payload.decode("utf-8", "replace")
@@ -148,7 +163,13 @@ def member(record: Record) -> bytes:
 
 
 def members(data: bytes) -> Iterator[tuple[int, int, Record]]:
-    """(offset, compressed length, record) of each member of a .warc.gz file."""
+    """(offset, compressed length, record) of each member of a .warc.gz file; of a plain .warc file (offset, length, record)."""
+    if data[:5] == b"WARC/":
+        at = 0
+        for record, stop in located(data):
+            yield at, stop - at, record
+            at = stop
+        return
     view, at = memoryview(data), 0
     while at < len(data):
         reader, parts, stop = zlib.decompressobj(31), [], at
@@ -221,7 +242,7 @@ def derivatives(archives: DataFrame) -> DataFrame:
 
 def read(spark: SparkSession, path: str) -> DataFrame:
     """.warc and .warc.gz files under a path that Spark can read, as rows with a file each."""
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.warc.gz").option("recursiveFileLookup", "true").load(path)
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.{warc,warc.gz}").option("recursiveFileLookup", "true").load(path)
     return files.select(F.col("content").alias("file"))
 
 

@@ -142,6 +142,18 @@ def test_warc_records():
     assert next(warc.parse(folded)).get("x") == "a b"
 
 
+def test_digests_of_other_kinds():
+    import base64
+    import hashlib
+
+    data = b"payload"
+    for name in ("md5", "sha1", "sha256", "sha512"):
+        own = hashlib.new(name, data).digest()
+        for value in (own.hex(), own.hex().upper(), base64.b32encode(own).decode(), base64.b32encode(own).decode().lower()):
+            assert warc.matches(f"{name.upper()}:{value}", data) and not warc.matches(f"{name}:{value}", data + b"x")
+    assert warc.matches("blake9:abc", data)
+
+
 def test_warc_round_trip(spark, tmp_path):
     rows = [(1, "http://a/", "<p>x"), (2, None, None), (None, "http://c/\nd", ""), (1, "http://a/", "<p>x")]
     df = spark.createDataFrame([(*r, "t") for r in rows], "page_id long, url string, html string, type string")
@@ -152,4 +164,9 @@ def test_warc_round_trip(spark, tmp_path):
     for i, f in enumerate(warc.archive(df).collect()):
         (tmp_path / f"f{i}.warc.gz").write_bytes(f.file)
     assert warc.derivatives(warc.read(spark, str(tmp_path))).count() == 8
+    plain = b"".join(r.dump() for f in warc.archive(df).collect() for _, _, r in warc.members(f.file))
+    (tmp_path / "plain").mkdir()
+    (tmp_path / "plain" / "all.warc").write_bytes(plain)
+    assert [r for _, _, r in warc.members(plain)] == list(warc.parse(plain)) and sum(n for _, n, _ in warc.members(plain)) == len(plain)
+    assert warc.derivatives(warc.read(spark, str(tmp_path / "plain"))).count() == 8 and warc.derivatives(warc.read(spark, str(tmp_path))).count() == 16
     assert warc.round_trip(spark.createDataFrame([], "page_id long, url string, html string")).collect() == []
