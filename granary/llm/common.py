@@ -17,6 +17,13 @@ def shared_dir(spark: SparkSession) -> str:
     return (base or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/granary_scratch").rstrip("/")
 
 
+def delete_on_exit(spark: SparkSession, path: str) -> None:
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    system = target.getFileSystem(spark._jsc.hadoopConfiguration())
+    system.mkdirs(target)
+    system.deleteOnExit(target)
+
+
 def materialize(df: DataFrame) -> DataFrame:
     """Write df as Parquet to the shared folder and reread it: lineage is cut, and a lost executor loses nothing of it.
 
@@ -25,8 +32,7 @@ def materialize(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/granary-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    target = spark._jvm.org.apache.hadoop.fs.Path(path)
-    target.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(target)
+    delete_on_exit(spark, path)
     return spark.read.schema(df.schema).parquet(path)
 
 

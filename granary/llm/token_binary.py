@@ -1,20 +1,28 @@
-"""Token ids in binary shards: each document compressed by itself with one shared zstandard dictionary."""
+"""Token ids in binary shard files: each document compressed by itself with one shared zstandard dictionary.
+
+A folder holds `shards/`, the `dictionary` and `index/`, a Parquet table of the shards in order; it outlives the session.
+"""
 
 from __future__ import annotations
 
 import hashlib
+import io
+import posixpath
 import struct
+import uuid
 import zlib
 from collections.abc import Iterator
+from typing import BinaryIO
 
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark.sql import DataFrame, Window
+from pyarrow import fs
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from granary.llm import tokens
-from granary.llm.common import hashed_sample, materialize, shuffle_width
+from granary.llm.common import delete_on_exit, hashed_sample, shared_dir, shuffle_width
 
 END = 1
 LEVEL = 3
@@ -45,16 +53,17 @@ def train(samples: list[bytes], size: int = DICTIONARY) -> bytes:
 
 
 class Shard:
-    """A shard file's bytes: any document is read with two seeks and one small decompression."""
+    """An open shard file, or its bytes: beyond its index a document is read with one seek and one small decompression."""
 
-    def __init__(self, data: bytes, dictionary: bytes):
-        magic, self.width, digest, n = HEADER.unpack_from(data)
+    def __init__(self, data: bytes | BinaryIO, dictionary: bytes):
+        self.file = io.BytesIO(data) if isinstance(data, bytes) else data
+        magic, self.width, digest, n = HEADER.unpack(self.file.read(HEADER.size))
         if magic != MAGIC:
             raise ValueError("not a token shard")
         if digest != hashlib.sha256(dictionary).digest():
             raise ValueError("the shard was written with another dictionary")
-        self.index = np.frombuffer(data, ENTRY, n, HEADER.size)
-        self.frames = memoryview(data)[HEADER.size + n * ENTRY.itemsize :]
+        self.index = np.frombuffer(self.file.read(n * ENTRY.itemsize), ENTRY, n)
+        self.begin = HEADER.size + n * ENTRY.itemsize
         self.reader = zstandard.ZstdDecompressor(dict_data=zstandard.ZstdCompressionDict(dictionary))
 
     def __len__(self) -> int:
@@ -63,13 +72,45 @@ class Shard:
     def ids(self, i: int) -> bytes:
         """Ids of the i-th document as little-endian unsigned 32-bit integers."""
         e = self.index[i]
-        raw = self.reader.decompress(self.frames[int(e["at"]) : int(e["at"]) + int(e["size"])], max_output_size=int(e["n"]) * self.width)
+        self.file.seek(self.begin + int(e["at"]))
+        raw = self.reader.decompress(self.file.read(int(e["size"])), max_output_size=int(e["n"]) * self.width)
         ids = np.frombuffer(raw, f"<u{self.width}").astype("<u4").tobytes()
         if len(ids) != 4 * int(e["n"]) or zlib.crc32(ids) != int(e["crc"]):
             raise ValueError("a document's ids don't match the index")
         return ids
 
 
+def located(folder: str) -> tuple[fs.FileSystem, str]:
+    """The file system of a folder and its path there; what pyarrow knows: local or mounted folders, HDFS, S3, GCS."""
+    if folder.startswith("file:"):
+        folder = "/" + folder[5:].lstrip("/")
+    return fs.FileSystem.from_uri(folder)
+
+
+def put(system: fs.FileSystem, path: str, data: bytes) -> None:
+    """A file as a whole or not at all: a task that runs again, or twice, leaves the same file."""
+    unfinished = f"{path}.{uuid.uuid4().hex}"
+    with system.open_output_stream(unfinished) as out:
+        out.write(data)
+    system.move(unfinished, path)
+
+
+def _store(folder: str):
+    """Shards (bucket, shard, docs, tokens, inside, data) to files; what the index says of each."""
+
+    def store(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        system, path = located(folder)
+        for batch in batches:
+            names = []
+            for bucket, shard, data in zip(*(batch.column(c).to_pylist() for c in ("bucket", "shard", "data")), strict=True):
+                names.append(f"shards/{bucket:06d}-{shard:06d}.gtok")
+                put(system, posixpath.join(path, names[-1]), data)
+            kept = ["bucket", "shard", "docs", "tokens", "inside"]
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), pa.array(names, pa.string())], [*kept, "name"])
+
+    return store
+
+
 def shard_bytes(rows: list[tuple[int | None, int, int, bytes]], width: int, dictionary: bytes) -> bytes:
     """A shard of (doc_id, number of ids, crc32, frame) rows."""
     index, at = np.zeros(len(rows), ENTRY), 0
@@ -126,13 +167,15 @@ def _write(width: int, dictionary: bytes):
     return write
 
 
-def _read(dictionary: bytes):
+def _read(folder: str, dictionary: bytes):
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        system, path = located(folder)
         for batch in batches:
-            for data, start in zip(batch.column("data"), batch.column("start").to_pylist(), strict=True):
-                shard = Shard(data.as_py(), dictionary)
-                n = shard.index["n"].astype(np.int64)
-                crc = [zlib.crc32(shard.ids(i)) for i in range(len(shard))]
+            for name, start in zip(batch.column("name").to_pylist(), batch.column("start").to_pylist(), strict=True):
+                with system.open_input_file(posixpath.join(path, name)) as file:
+                    shard = Shard(file, dictionary)
+                    n = shard.index["n"].astype(np.int64)
+                    crc = [zlib.crc32(shard.ids(i)) for i in range(len(shard))]
                 docs = pa.array(shard.index["doc_id"], mask=shard.index["null"].astype(bool))
                 yield pa.RecordBatch.from_arrays(
                     [docs, pa.array(start + np.cumsum(n) - n), pa.array(n), pa.array(crc, pa.int64())], ["doc_id", "start", "n_tokens", "ids_crc32"]
@@ -148,39 +191,61 @@ def dictionary_for(docs: DataFrame, path: str, width: int) -> bytes:
     return train([narrow(encode(r.text)[: 4 * SAMPLE_IDS], width) for r in hashed_sample(rows, "doc_id", SAMPLE) if r.text])
 
 
-def write_shards(docs: DataFrame, path: str | None = None, end: int = END, buckets: int | None = None) -> tuple[DataFrame, bytes]:
-    """(shards, dictionary): shard files as rows (bucket, shard, docs, tokens, inside, data), in ascending order of doc_id.
+def write(docs: DataFrame, folder: str, path: str | None = None, end: int = END, buckets: int | None = None) -> None:
+    """Shard files, their dictionary and index in a folder that all executors share, in ascending order of doc_id.
 
     Documents are encoded and compressed where they are read; only frames are shuffled, to buckets of consecutive
     doc_ids whose bounds come from quantiles of doc_id, and sorted there. Null texts count as empty; rows without a
-    doc_id come first; rows that repeat a doc_id are ordered by their ids' checksum.
+    doc_id come first; rows that repeat a doc_id are ordered by their ids' checksum. The folder must be new or empty.
     """
     path = path or tokens.vocabulary()
     rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
     width = 2 if tokens.encoder(path).library.get_vocab_size() <= 1 << 16 and end < 1 << 16 else 4
     dictionary = dictionary_for(rows, path, width)
+    system, at = located(folder)
+    system.create_dir(posixpath.join(at, "shards"))
+    put(system, posixpath.join(at, "dictionary"), dictionary)
     buckets = buckets or 4 * shuffle_width(docs.sparkSession)
     cuts = rows.select(F.percentile_approx("doc_id", [i / buckets for i in range(1, buckets)] or [0.5], 10 * buckets).alias("q")).first().q or []
     encode = _encode(path, end, width, dictionary, np.array(sorted(set(cuts)), np.int64))
     frames = rows.mapInArrow(encode, "bucket int, doc_id long, n long, crc long, frame binary")
     ordered = frames.repartition("bucket").sortWithinPartitions("bucket", F.col("doc_id").asc_nulls_first(), "crc", "n")
     shards = ordered.mapInArrow(_write(width, dictionary), "bucket int, shard int, docs long, tokens long, inside long, data binary")
-    return materialize(shards), dictionary
+    shards.mapInArrow(_store(folder), "bucket int, shard int, docs long, tokens long, inside long, name string").write.parquet(f"{folder}/index")
 
 
-def read_shards(shards: DataFrame, dictionary: bytes) -> DataFrame:
-    """(doc_id, start, n_tokens, ids_crc32) of every document, from the shards' bytes.
+def read(spark: SparkSession, folder: str) -> DataFrame:
+    """(doc_id, start, n_tokens, ids_crc32) of every document, from the files of a folder.
 
     start counts the ids of all documents before it: a shard has what comes before it in its bucket, and the sums of
     the buckets, of which there are four for each shuffle partition, are added up and broadcast.
     """
-    totals = shards.groupBy("bucket").agg(F.sum("tokens").alias("total"))
+    index = spark.read.schema("bucket int, shard int, docs long, tokens long, inside long, name string").parquet(f"{folder}/index")
+    totals = index.groupBy("bucket").agg(F.sum("tokens").alias("total"))
     before = totals.select("bucket", (F.sum("total").over(Window.orderBy("bucket")) - F.col("total")).alias("before"))
-    placed = shards.join(F.broadcast(before), "bucket").select("data", (F.col("before") + F.col("inside")).alias("start"))
-    return placed.select("data", "start").mapInArrow(_read(dictionary), "doc_id long, start long, n_tokens long, ids_crc32 long")
+    placed = index.join(F.broadcast(before), "bucket").select("name", (F.col("before") + F.col("inside")).alias("start"))
+    # A row is a file of some megabytes, so rows are spread over the tasks.
+    spread = placed.repartition(max(1, min(index.count(), 2 * shuffle_width(spark))))
+    return spread.mapInArrow(_read(folder, dictionary_of(folder)), "doc_id long, start long, n_tokens long, ids_crc32 long")
+
+
+def dictionary_of(folder: str) -> bytes:
+    system, at = located(folder)
+    with system.open_input_file(posixpath.join(at, "dictionary")) as file:
+        return file.read()
+
+
+def document(folder: str, name: str, i: int) -> np.ndarray:
+    """Ids of the i-th document of a shard file, without reading the rest of it."""
+    system, at = located(folder)
+    with system.open_input_file(posixpath.join(at, name)) as file:
+        return np.frombuffer(Shard(file, dictionary_of(folder)).ids(i), "<u4")
 
 
 def round_trip(docs: DataFrame, path: str | None = None, end: int = END) -> DataFrame:
-    """The documents' digests as read back from the shards that they were written to."""
-    shards, dictionary = write_shards(docs, path, end)
-    return read_shards(shards, dictionary)
+    """The documents' digests as read back from the files that they were written to, in the session's shared folder."""
+    spark = docs.sparkSession
+    folder = f"{shared_dir(spark)}/granary-tokens-{uuid.uuid4().hex}"
+    delete_on_exit(spark, folder)
+    write(docs, folder, path, end)
+    return read(spark, folder)

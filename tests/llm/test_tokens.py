@@ -1,4 +1,7 @@
+import os
 import random
+import subprocess
+import sys
 import zlib
 
 import numpy as np
@@ -141,3 +144,19 @@ def test_sampling_follows_the_lattice():
         assert abs(drawn.get(path, 0) / n - share) < 4 * np.sqrt(share * (1 - share) / n) + 1e-4
     sharp = sentence_pieces.Sampler(sentence_pieces.Pieces(sentence_pieces.vocabulary(), theta=50.0))
     assert {tuple(x.tolist()) for x in sharp.sample(list(range(50)), ["there"] * 50)} == {tuple([next(i for i, b in enumerate(p.bytes) if b == b" there")])}
+
+
+def test_token_files_outlive_the_session(spark, tmp_path):
+    rows = [(i, f"text {i} " * (i % 7)) for i in range(60)] + [(None, "no id"), (3, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    folder = f"{tmp_path}/tokens"
+    token_binary.write(df, folder, buckets=5)
+    other = token_binary.read(spark.newSession(), f"file://{folder}")
+    got = sorted(((r.start, r.doc_id, r.n_tokens, r.ids_crc32) for r in other.collect()), key=lambda x: x[0])
+    encode = tokens.encoder(tokens.vocabulary()).encode
+    want = [(-1 if d is None else d, len(ids) // 4, zlib.crc32(ids)) for d, t in rows for ids in [encode(t or "") + (1).to_bytes(4, "little")]]
+    assert sorted((-1 if d is None else d, n, c) for _, d, n, c in got) == sorted(want)
+    assert [d for _, d, _, _ in got][0] is None and [s for s, *_ in got] == [sum(n for *_, n, _ in got[:k]) for k in range(len(got))]
+    script = f"from granary.llm import token_binary as t; import os; n = sorted(os.listdir({folder + '/shards'!r}))[0]; print(t.document({folder!r}, 'shards/' + n, 0).tolist())"
+    first = subprocess.run([sys.executable, "-c", script], capture_output=True, text=True, cwd=os.path.dirname(os.path.dirname(os.path.dirname(__file__)))).stdout
+    assert first.strip() == str(np.frombuffer(encode("no id") + (1).to_bytes(4, "little"), "<u4").tolist())
