@@ -95,22 +95,6 @@ def put(system: fs.FileSystem, path: str, data: bytes) -> None:
     system.move(unfinished, path)
 
 
-def _store(folder: str):
-    """Shards (bucket, shard, docs, tokens, inside, data) to files; what the index says of each."""
-
-    def store(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        system, path = located(folder)
-        for batch in batches:
-            names = []
-            for bucket, shard, data in zip(*(batch.column(c).to_pylist() for c in ("bucket", "shard", "data")), strict=True):
-                names.append(f"shards/{bucket:06d}-{shard:06d}.gtok")
-                put(system, posixpath.join(path, names[-1]), data)
-            kept = ["bucket", "shard", "docs", "tokens", "inside"]
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), pa.array(names, pa.string())], [*kept, "name"])
-
-    return store
-
-
 def shard_bytes(rows: list[tuple[int | None, int, int, bytes]], width: int, dictionary: bytes) -> bytes:
     """A shard of (doc_id, number of ids, crc32, frame) rows."""
     index, at = np.zeros(len(rows), ENTRY), 0
@@ -141,16 +125,21 @@ def _encode(path: str, end: int, width: int, dictionary: bytes, bounds: np.ndarr
     return encode
 
 
-def _write(width: int, dictionary: bytes):
+def _write(folder: str, width: int, dictionary: bytes):
+    """Sorted frames to shard files; what the index says of each, so that no shard's bytes go through Spark."""
+
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def emit():
             nonlocal inside
             total = sum(r[1] for r in rows)
-            columns = [[bucket], [shard], [len(rows)], [total], [inside], [shard_bytes(rows, width, dictionary)]]
-            kinds = [pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary()]
+            name = f"shards/{bucket:06d}-{shard:06d}.gtok"
+            put(system, posixpath.join(path, name), shard_bytes(rows, width, dictionary))
+            columns = [[bucket], [shard], [len(rows)], [total], [inside], [name]]
+            kinds = [pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.string()]
             inside += total
-            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["bucket", "shard", "docs", "tokens", "inside", "data"])
+            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["bucket", "shard", "docs", "tokens", "inside", "name"])
 
+        system, path = located(folder)
         rows, size, bucket, shard, inside = [], 0, None, 0, 0
         for batch in batches:
             for b, doc, n, crc, frame in zip(*(batch.column(c).to_pylist() for c in ("bucket", "doc_id", "n", "crc", "frame")), strict=True):
@@ -173,7 +162,7 @@ def _read(folder: str, dictionary: bytes):
         for batch in batches:
             for name, start in zip(batch.column("name").to_pylist(), batch.column("start").to_pylist(), strict=True):
                 with system.open_input_file(posixpath.join(path, name)) as file:
-                    shard = Shard(file, dictionary)
+                    shard = Shard(file.read(), dictionary)
                     n = shard.index["n"].astype(np.int64)
                     crc = [zlib.crc32(shard.ids(i)) for i in range(len(shard))]
                 docs = pa.array(shard.index["doc_id"], mask=shard.index["null"].astype(bool))
@@ -191,6 +180,9 @@ def dictionary_for(docs: DataFrame, path: str, width: int) -> bytes:
     return train([narrow(encode(r.text)[: 4 * SAMPLE_IDS], width) for r in hashed_sample(rows, "doc_id", SAMPLE) if r.text])
 
 
+INDEX = "bucket int, shard int, docs long, tokens long, inside long, name string"
+
+
 def write(docs: DataFrame, folder: str, path: str | None = None, end: int = END, buckets: int | None = None) -> None:
     """Shard files, their dictionary and index in a folder that all executors share, in ascending order of doc_id.
 
@@ -210,8 +202,7 @@ def write(docs: DataFrame, folder: str, path: str | None = None, end: int = END,
     encode = _encode(path, end, width, dictionary, np.array(sorted(set(cuts)), np.int64))
     frames = rows.mapInArrow(encode, "bucket int, doc_id long, n long, crc long, frame binary")
     ordered = frames.repartition("bucket").sortWithinPartitions("bucket", F.col("doc_id").asc_nulls_first(), "crc", "n")
-    shards = ordered.mapInArrow(_write(width, dictionary), "bucket int, shard int, docs long, tokens long, inside long, data binary")
-    shards.mapInArrow(_store(folder), "bucket int, shard int, docs long, tokens long, inside long, name string").write.parquet(f"{folder}/index")
+    ordered.mapInArrow(_write(folder, width, dictionary), INDEX).write.parquet(f"{folder}/index")
 
 
 def read(spark: SparkSession, folder: str) -> DataFrame:
@@ -220,7 +211,7 @@ def read(spark: SparkSession, folder: str) -> DataFrame:
     start counts the ids of all documents before it: a shard has what comes before it in its bucket, and the sums of
     the buckets, of which there are four for each shuffle partition, are added up and broadcast.
     """
-    index = spark.read.schema("bucket int, shard int, docs long, tokens long, inside long, name string").parquet(f"{folder}/index")
+    index = spark.read.schema(INDEX).parquet(f"{folder}/index")
     totals = index.groupBy("bucket").agg(F.sum("tokens").alias("total"))
     before = totals.select("bucket", (F.sum("total").over(Window.orderBy("bucket")) - F.col("total")).alias("before"))
     placed = index.join(F.broadcast(before), "bucket").select("name", (F.col("before") + F.col("inside")).alias("start"))
