@@ -29,7 +29,7 @@ WORDS, LEAST = 5, 0.8
 #: 64-bit words of a wide fingerprint.
 WIDE = 4
 #: At a similarity of 0.8 a bit differs with a probability of at most 0.19 (0.16 for texts of 20 words or more), so of the
-#: first 128 and of all 256 bits more than these differ with a probability below 1e-7 (1e-9 for those longer ones).
+#: first 128 and of all 256 bits more than these differ with a probability of 2e-7 at most (4e-10 for those longer ones).
 NEAR_HALF, NEAR = 48, 84
 #: Wide fingerprints in a tile, and shingles of its texts.
 WIDE_TILE, TILE_SHINGLES = 32768, 4 << 20
