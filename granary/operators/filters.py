@@ -72,6 +72,44 @@ def first_tier(df: DataFrame, tiers: list[Column], per: list[str]) -> DataFrame:
     return ranked.withColumn("_first", F.min("tier").over(Window.partitionBy(*per))).where("tier = _first").drop("_first")
 
 
+def section_tiers(section: str | None, column: str = "heading_path") -> list[Column]:
+    """What a text can mean, whatever its case: a whole path, a path with its blanks put right, a part of a path."""
+    wanted = (section or "").strip().lower()
+    path = F.lower(F.coalesce(column, F.lit("")))
+    parts = [p.strip() for p in wanted.split(">")]
+    tidy = [path == " > ".join(filter(None, parts))] if len(parts) > 1 else []
+    return [path == wanted, *tidy, path.contains(wanted)] if wanted else []
+
+
+def in_section(chunks: DataFrame, section: str | None, column: str = "heading_path") -> DataFrame:
+    """Chunks of the sections that are meant by a text, by the first of section_tiers that any has; all where none has.
+
+    What is asked of all chunks is the lowest tier: one number, which combines before the shuffle.
+    """
+    tiers = section_tiers(section, column)
+    if not tiers:
+        return chunks
+    tier = F.coalesce(*[F.when(t, i) for i, t in enumerate(tiers)])
+    first = chunks.agg(F.min(tier).alias("_first"))
+    return chunks.crossJoin(F.broadcast(first)).where(F.col("_first").isNull() | (tier == F.col("_first"))).drop("_first")
+
+
+def below(chunks: DataFrame, prefix: str | None, column: str = "source") -> DataFrame:
+    """Chunks whose source is under a path prefix; all where none is."""
+    return where_any(chunks, under(prefix, column)).drop("unmatched") if prefix else chunks
+
+
+def scope_notes(chunks: DataFrame, section: str | None = None, path_prefix: str | None = None) -> DataFrame:
+    """(asked, value, documents, ignored): how many documents a section or a path prefix means; ignored where none."""
+    asked = [("section", section, in_section, reduce(lambda a, b: a | b, section_tiers(section), F.lit(False))), ("path_prefix", path_prefix, below, under(path_prefix))]
+    out = chunks.sparkSession.createDataFrame([], "asked string, value string, documents long, ignored boolean")
+    for name, value, met, hit in asked:
+        if value:
+            n = met(chunks, value).agg(F.countDistinct(F.when(hit, F.col("source"))).alias("documents"))
+            out = out.unionByName(n.select(F.lit(name).alias("asked"), F.lit(value).alias("value"), "documents", (F.col("documents") == 0).alias("ignored")))
+    return out
+
+
 def resolve_source(requests: DataFrame, sources: DataFrame) -> DataFrame:
     """(request, source, tier, ambiguous): full path, else file name, else part of the path, whatever the case.
 

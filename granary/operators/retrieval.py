@@ -5,16 +5,18 @@ Everything is partitioned by qid, so one plan answers a batch of queries; every
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from granary.functions import meta
 from granary.functions import text as T
+from granary.operators import filters
 
 # The results depend on them.
 TOP_K, TOP_K_MAX, POOL_FACTOR, POOL_MIN = 5, 20, 3, 15
@@ -28,6 +30,8 @@ DIGITS = 6
 
 #: Queries that are sent to every executor at once; more are answered in several passes of the same plan.
 QUERIES_AT_ONCE, VECTORS_AT_ONCE = 2000, 1024
+#: Queries of one block of term weights, chunks that are scored against it at once.
+WEIGHTS_AT_ONCE, CHUNKS_AT_ONCE = 64, 256
 
 
 def pool_size(top_k: int | None) -> tuple[int, int]:
@@ -36,85 +40,111 @@ def pool_size(top_k: int | None) -> tuple[int, int]:
     return k, max(POOL_FACTOR * k, POOL_MIN)
 
 
-def rows_of(column: pa.ListArray) -> tuple[np.ndarray, np.ndarray]:
-    """(positions, matrix) of the usual length's vectors that are whole, finite and not zero, scaled to length one."""
-    column = column.cast(pa.list_(pa.float64()))
+def sizes_of(column: pa.ListArray) -> np.ndarray:
+    """The lengths of lists, 0 for nulls."""
     sizes = np.diff(column.offsets.to_numpy())
-    sizes[column.is_null().to_numpy(zero_copy_only=False)] = 0
-    if not len(sizes) or not sizes.max():
-        return np.zeros(0, np.int64), np.zeros((0, 0))
-    at = np.flatnonzero(sizes == np.bincount(sizes[sizes > 0]).argmax())
-    x = column.take(pa.array(at)).flatten().to_numpy(zero_copy_only=False).reshape(len(at), -1)
+    return np.where(column.is_null().to_numpy(zero_copy_only=False), 0, sizes)
+
+
+def rows_of(column: pa.ListArray, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """(positions, matrix) of the vectors of `width` components that are whole, finite and not zero, scaled to length one."""
+    column = column.cast(pa.list_(pa.float64()))
+    at = np.flatnonzero(sizes_of(column) == width)
+    x = column.take(pa.array(at)).flatten().to_numpy(zero_copy_only=False).reshape(len(at), width)
     length = np.sqrt((x * x).sum(axis=1))
     good = np.isfinite(length) & (length > 0)
     return at[good], x[good] / length[good, None]
 
 
+class Best:
+    """Which scores are among the n best of each query so far, in one task."""
+
+    def __init__(self, queries: int, n: int):
+        self.n, self.best = n, np.full((queries, n), -np.inf)
+
+    def keep(self, scores: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(query, row) of scores (queries x rows, minus infinity for none) that reach their query's n-th best."""
+        both = np.concatenate([self.best, scores], axis=1)
+        self.best = np.partition(both, both.shape[1] - self.n, axis=1)[:, -self.n :]
+        return np.nonzero((scores >= self.best.min(axis=1)[:, None]) & (scores > -np.inf))
+
+
 def top(scored: DataFrame, n: int, score: str = "score", by: str = "qid") -> DataFrame:
     """The n best rows of each query with their rank; WindowGroupLimit keeps only as many from each task."""
     order = Window.partitionBy(by).orderBy(F.desc(score), "id")
     return scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= n)
 
 
-def similarities(vectors: DataFrame, queries: DataFrame, among: DataFrame) -> DataFrame:
-    """(qid, id, score): cosine in double precision of the pairs `among` (qid, id); pairs without a usable vector go."""
+def held(queries: DataFrame) -> dict[int, list] | None:
+    """The vectors of queries by qid, where they are few enough to be sent to every task; else None."""
+    found = queries.select("qid", "qvec").limit(QUERIES_AT_ONCE + 1).collect()
+    return {r.qid: r.qvec for r in found} if len(found) <= QUERIES_AT_ONCE else None
+
+
+def in_passes(queries: DataFrame, answer: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """The answers to more queries than are held at once, in passes by hash."""
+    parts = -(-queries.count() // (QUERIES_AT_ONCE // 2))
+    return reduce(DataFrame.unionByName, [answer(queries.where(F.pmod(F.xxhash64("qid"), F.lit(parts)) == i)) for i in range(parts)])
+
+
+def similarities(vectors: DataFrame, queries: DataFrame, among: DataFrame, known: dict[int, list] | None = None) -> DataFrame:
+    """(qid, id, score): cosine in double precision of the pairs `among` (qid, id); pairs without a usable vector go.
+
+    Few queries (known, or as many as are held at once) go to every task, so a pair meets its vector by id and is scored
+    there; more are joined.
+    """
+    known = held(queries) if known is None else known
+    place = {q: i for i, q in enumerate(known)} if known is not None else {}
+    column = pa.array(list(known.values()) if known is not None else [], pa.list_(pa.float64()))
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            i, x = rows_of(batch.column("qvec"))
-            j, y = rows_of(batch.column("dense"))
-            both, at, to = np.intersect1d(i, j, return_indices=True)
-            cos = (x[at] * y[to]).sum(axis=1) if len(both) and x.shape[1] == y.shape[1] else np.zeros(0)
-            both = both[: len(cos)]
-            picked = batch.take(pa.array(both))
-            yield pa.RecordBatch.from_arrays([picked.column("qid"), picked.column("id"), pa.array(np.round(cos, DIGITS))], ["qid", "id", "score"])
+            asked = column.take(pa.array([place.get(q) for q in batch.column("qid").to_pylist()], pa.int64())) if place else batch.column("qvec")
+            for width in np.unique(sizes_of(asked)):
+                i, x = rows_of(asked, width)
+                j, y = rows_of(batch.column("dense"), width)
+                both, at, to = np.intersect1d(i, j, return_indices=True)
+                if width and len(both):
+                    picked = batch.take(pa.array(both))
+                    cos = np.round((x[at] * y[to]).sum(axis=1), DIGITS)
+                    yield pa.RecordBatch.from_arrays([picked.column("qid"), picked.column("id"), pa.array(cos)], ["qid", "id", "score"])
 
-    pairs = among.join(vectors.select("id", "dense"), "id").join(queries.select("qid", "qvec"), "qid")
-    return pairs.select("qid", "id", "qvec", "dense").mapInArrow(score, "qid long, id long, score double")
+    pairs = among.join(vectors.select("id", "dense"), "id")
+    if not place:
+        pairs = pairs.join(queries.select("qid", "qvec"), "qid")
+    return pairs.select("qid", "id", "dense", *([] if place else ["qvec"])).mapInArrow(score, "qid long, id long, score double")
 
 
-def nearest(vectors: DataFrame, queries: DataFrame, n: int, threshold: float | None) -> DataFrame:
-    """(qid, id, score) that hold each query's n best vectors, by blocked matrix products where the vectors are.
+def nearest(vectors: DataFrame, queries: DataFrame, n: int, threshold: float | None, known: dict[int, list] | None = None) -> DataFrame:
+    """(qid, id, score) that hold each query's n best vectors of its length, by blocked matrix products where the vectors are.
 
     The queries, QUERIES_AT_ONCE at most in a pass, go to every task. A task gives out only rows that are among its own
     n best so far, so what is shuffled hardly grows with its vectors.
     """
-
-    def scan(names: np.ndarray, asked: np.ndarray):
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            best = np.full((len(names), n), -np.inf if threshold is None else threshold - 1)
-            for batch in batches:
-                at, x = rows_of(batch.column("dense"))
+    known = held(queries) if known is None else known
+    if known is None:
+        return in_passes(queries, lambda part: nearest(vectors, part, n, threshold))
+    names = np.array(list(known), np.int64)
+    column = pa.array(list(known.values()), pa.list_(pa.float64()))
+    blocks = [(names[at], x) for at, x in (rows_of(column, w) for w in np.unique(sizes_of(column)) if w) if len(at)]
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        best = [Best(len(of), n) for of, _ in blocks]
+        for batch in batches:
+            for (of, asked), so_far in zip(blocks, best, strict=True):
+                at, x = rows_of(batch.column("dense"), asked.shape[1])
                 ids = batch.column("id").to_numpy()[at]
-                if not len(x) or x.shape[1] != asked.shape[1]:
-                    continue
                 for k in range(0, len(x), VECTORS_AT_ONCE):
                     cos = np.round(asked @ x[k : k + VECTORS_AT_ONCE].T, DIGITS)
-                    keep = cos >= best[:, :1]
-                    if threshold is not None:
-                        keep &= cos >= threshold
-                    q, v = np.nonzero(keep)
-                    if not len(q):
-                        continue
-                    best = np.sort(np.concatenate([best, -np.sort(-cos, axis=1)[:, :n]], axis=1), axis=1)[:, -n:]
-                    some = cos[q, v] >= best[q, 0]
-                    q, v = q[some], v[some]
-                    yield pa.RecordBatch.from_arrays([pa.array(names[q]), pa.array(ids[k + v]), pa.array(cos[q, v])], ["qid", "id", "score"])
-
-        return run
+                    q, v = so_far.keep(cos if threshold is None else np.where(cos >= threshold, cos, -np.inf))
+                    if len(q):
+                        yield pa.RecordBatch.from_arrays([pa.array(of[q]), pa.array(ids[k + v]), pa.array(cos[q, v])], ["qid", "id", "score"])
 
-    found = [(r.qid, r.qvec) for r in queries.select("qid", "qvec").limit(QUERIES_AT_ONCE + 1).collect()]
-    if len(found) > QUERIES_AT_ONCE:  # more than are held at once: in passes by hash
-        parts = -(-queries.count() // (QUERIES_AT_ONCE // 2))
-        halves = [nearest(vectors, queries.where(F.pmod(F.xxhash64("qid"), F.lit(parts)) == i), n, threshold) for i in range(parts)]
-        return reduce(DataFrame.unionByName, halves)
-    at, asked = rows_of(pa.array([q for _, q in found], pa.list_(pa.float64())))
-    names = np.array([i for i, _ in found], np.int64)[at]
-    return vectors.select("id", "dense").mapInArrow(scan(names, asked), "qid long, id long, score double")
+    return vectors.select("id", "dense").mapInArrow(scan, "qid long, id long, score double")
 
 
-def dense_channel(vectors: DataFrame, queries: DataFrame, pool: int, threshold: float | None) -> DataFrame:
-    return top(nearest(vectors, queries, pool, threshold or None), pool)
+def dense_channel(vectors: DataFrame, queries: DataFrame, pool: int, threshold: float | None, known: dict[int, list] | None = None) -> DataFrame:
+    return top(nearest(vectors, queries, pool, threshold or None, known), pool)
 
 
 def postings(chunks: DataFrame) -> DataFrame:
@@ -122,25 +152,83 @@ def postings(chunks: DataFrame) -> DataFrame:
     return chunks.select("id", F.explode(T.tokens(F.col("search_text"))).alias("term")).groupBy("id", "term").agg(F.count(F.lit(1)).alias("tf"))
 
 
+def occurrences(chunks: DataFrame) -> DataFrame:
+    """(id, term), each pair once, where the texts are: postings without counts, and without a shuffle."""
+    return chunks.select("id", F.explode(F.array_distinct(T.tokens(F.col("search_text")))).alias("term"))
+
+
 def frequencies(posts: DataFrame) -> DataFrame:
     """(term, df): in how many chunks a term is."""
     return posts.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
 
 
 def sparse_channel(posts: DataFrame, chunks: DataFrame, queries: DataFrame, pool: int) -> DataFrame:
-    """Dot product of term counts, weighted by ln(1 + (N - df + 0.5) / (df + 0.5)), over the terms a query has."""
-    asked = queries.select("qid", F.explode(T.tokens(F.col("sparse_query"))).alias("term")).groupBy("qid", "term").agg(F.count(F.lit(1)).alias("qtf"))
-    hits = posts.join(asked.select("term").distinct(), "term", "left_semi")
-    total = chunks.agg(F.count(F.lit(1)).alias("n"))
-    idf = frequencies(hits).crossJoin(F.broadcast(total)).select("term", F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("idf"))
-    parts = hits.join(idf, "term").join(asked, "term").select("qid", "id", (F.col("qtf") * F.col("tf") * F.col("idf")).alias("s"))
-    return top(parts.groupBy("qid", "id").agg(F.round(F.sum("s"), DIGITS).alias("score")), pool)
+    """Dot product of term counts, weighted by ln(1 + (N - df + 0.5) / (df + 0.5)), over the terms a query has.
 
+    The weights of the queries' terms, QUERIES_AT_ONCE queries at most in a pass, go to every task and texts are scored
+    where they are, so that a term which most chunks have costs no shuffle. A task gives out only its own best. posts
+    (id, term, each pair once) are read for the frequencies of the asked terms.
+    """
+    if queries.select("qid").limit(QUERIES_AT_ONCE + 1).count() > QUERIES_AT_ONCE:
+        return in_passes(queries, lambda part: sparse_channel(posts, chunks, part, pool))
+    asked = queries.select("qid", F.explode(T.tokens(F.col("sparse_query"))).alias("term")).groupBy("qid", "term").agg(F.count(F.lit(1)).alias("qtf")).collect()
+    spark = chunks.sparkSession
+    words = spark.createDataFrame([(t,) for t in sorted({r.term for r in asked})], "term string")
+    df = {r.term: r.df for r in frequencies(posts.join(F.broadcast(words), "term", "left_semi")).collect()}  # asked terms only
+    total = chunks.count() if df else 0
+    vocabulary = sorted(df)
+    place = {t: i for i, t in enumerate(vocabulary)}
+    idf = {t: np.log(1 + (total - n + 0.5) / (n + 0.5)) for t, n in df.items()}
+    weights: dict[int, list[tuple[int, float]]] = {}
+    for r in asked:
+        if r.term in place:
+            weights.setdefault(r.qid, []).append((place[r.term], r.qtf * idf[r.term]))
+    names = sorted(weights)
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = pa.array(vocabulary, pa.string())
+        blocks = []
+        for k in range(0, len(names), WEIGHTS_AT_ONCE):
+            of = names[k : k + WEIGHTS_AT_ONCE]
+            used = np.unique([t for q in of for t, _ in weights[q]])
+            w = np.zeros((len(used), len(of)))
+            for j, q in enumerate(of):
+                at, value = zip(*weights[q], strict=True)
+                w[np.searchsorted(used, at), j] = value
+            blocks.append((np.array(of, np.int64), used, w, Best(len(of), pool)))
+        for batch in batches:
+            tokens = batch.column("tokens")
+            row = np.repeat(np.arange(len(batch)), sizes_of(tokens))
+            term = pc.fill_null(pc.index_in(tokens.flatten().cast(pa.string()), known), -1).to_numpy()
+            pair, tf = np.unique(row[term >= 0] * len(vocabulary) + term[term >= 0], return_counts=True)
+            row, term = pair // max(len(vocabulary), 1), pair % max(len(vocabulary), 1)
+            ids = batch.column("id").to_numpy()
+            for of, used, w, best in blocks:
+                at = np.minimum(np.searchsorted(used, term), len(used) - 1)
+                mine = used[at] == term
+                r, c, n = row[mine], at[mine], tf[mine]
+                for lo in range(0, len(batch), CHUNKS_AT_ONCE):
+                    i, j = np.searchsorted(r, (lo, lo + CHUNKS_AT_ONCE))
+                    if i == j:
+                        continue
+                    rows, starts = np.unique(r[i:j], return_index=True)
+                    scores = np.add.reduceat(n[i:j, None] * w[c[i:j]], starts, axis=0).T
+                    kept = np.where(scores > 0, np.round(scores, DIGITS), -np.inf)
+                    q, v = best.keep(kept)
+                    if len(q):
+                        yield pa.RecordBatch.from_arrays([pa.array(of[q]), pa.array(ids[rows[v]]), pa.array(kept[q, v])], ["qid", "id", "score"])
 
-def with_terms(posts: DataFrame, probes: DataFrame) -> DataFrame:
-    """(probe columns, id) of chunks that have all terms of a probe: probes has qid, tier and an array of lower-case terms."""
+    scored = chunks.select("id", T.tokens(F.col("search_text")).alias("tokens")).mapInArrow(scan, "qid long, id long, score double")
+    return top(scored, pool)
+
+
+def with_terms(posts: DataFrame, probes: DataFrame, few: bool = False) -> DataFrame:
+    """(probe columns, id) of chunks that have all terms of a probe: probes has qid, tier and an array of distinct lower-case terms.
+
+    posts has each (id, term) once. few: probes are known to be few enough to go to every task.
+    """
     wanted = probes.select("qid", "tier", F.size("terms").alias("n"), F.explode("terms").alias("term"))
-    met = posts.join(wanted, "term").groupBy("qid", "tier", "n", "id").agg(F.countDistinct("term").alias("met"))
+    met = posts.join(F.broadcast(wanted) if few else wanted, "term").groupBy("qid", "tier", "n", "id").agg(F.count(F.lit(1)).alias("met"))
     return met.where("met = n").select("qid", "tier", "id")
 
 
@@ -148,7 +236,7 @@ def lower_distinct(terms: Column) -> Column:
     return F.array_distinct(F.flatten(F.transform(terms, T.tokens)))
 
 
-def exact_channel(posts: DataFrame, chunks: DataFrame, vectors: DataFrame, queries: DataFrame, pool: int, exhaustive: bool = False) -> DataFrame:
+def exact_channel(posts: DataFrame, chunks: DataFrame, vectors: DataFrame, queries: DataFrame, pool: int, exhaustive: bool = False, known: dict[int, list] | None = None) -> DataFrame:
     """Chunks whose search_text contains the whole normalised query, case and all.
 
     Candidates have the three longest terms, or the longest one where no chunk has all three; of those with a vector the
@@ -157,24 +245,26 @@ def exact_channel(posts: DataFrame, chunks: DataFrame, vectors: DataFrame, queri
     terms = T.exact_terms(F.col("query"))
     asked = queries.select("qid", T.normalize_for_search(F.col("query")).alias("needle"), terms.alias("terms")).where("size(terms) > 0")
     probes = asked.select("qid", F.explode(F.array(*[F.struct(F.lit(i + 1).alias("tier"), lower_distinct(F.slice("terms", 1, n)).alias("terms")) for i, n in enumerate((EXACT_TERMS, 1))])).alias("p"))
-    met = with_terms(posts, probes.select("qid", "p.tier", "p.terms"))
+    known = held(queries) if known is None and not exhaustive else known
+    met = with_terms(posts, probes.select("qid", "p.tier", "p.terms"), known is not None)
     if exhaustive:
         near = met.where("tier = 2").withColumn("score", F.lit(0.0))
     else:
         first = met.withColumn("first", F.min("tier").over(Window.partitionBy("qid"))).where("tier = first").select("qid", "id")
-        near = top(similarities(vectors, queries, first), pool).drop("rank")
+        near = top(similarities(vectors, queries, first, known), pool).drop("rank")
     sure = near.join(chunks.select("id", "search_text"), "id").join(asked.select("qid", "needle"), "qid").where(F.col("search_text").contains(F.col("needle")))
     return top(sure.select("qid", "id", "score"), pool)
 
 
-def anchor_channel(posts: DataFrame, vectors: DataFrame, queries: DataFrame, pool: int) -> DataFrame:
+def anchor_channel(posts: DataFrame, vectors: DataFrame, queries: DataFrame, pool: int, known: dict[int, list] | None = None) -> DataFrame:
     """Chunks with one of the query's first three identifiers that at most ANCHOR_MAX_DF chunks have, nearest first."""
     found = queries.select("qid", F.posexplode(T.anchor_terms(F.col("query"))).alias("pos", "anchor"))
     probes = found.select("qid", "pos", F.array_distinct(T.tokens(F.col("anchor"))).alias("terms")).where("size(terms) > 0")
-    met = with_terms(posts, probes.select("qid", F.col("pos").alias("tier"), "terms"))
+    known = held(queries) if known is None else known
+    met = with_terms(posts, probes.select("qid", F.col("pos").alias("tier"), "terms"), known is not None)
     rare = met.groupBy("qid", "tier").agg(F.count(F.lit(1)).alias("df")).where(F.col("df") <= ANCHOR_MAX_DF)
     used = rare.withColumn("nth", F.row_number().over(Window.partitionBy("qid").orderBy("tier"))).where(F.col("nth") <= ANCHORS).select("qid", "tier")
-    return top(similarities(vectors, queries, met.join(used, ["qid", "tier"]).select("qid", "id").distinct()), pool)
+    return top(similarities(vectors, queries, met.join(used, ["qid", "tier"]).select("qid", "id").distinct(), known), pool)
 
 
 def fuse(channels: dict[str, DataFrame]) -> DataFrame:
@@ -236,35 +326,49 @@ def keyword_query(query: Column, dictionary: list[tuple[str, str]]) -> Column:
     return F.when(query.rlike(r"[一-鿿]") & (F.size(found) > 0), words).otherwise(query)
 
 
-def search(chunks: DataFrame, vectors: DataFrame, queries: DataFrame, mode: str = "hybrid", top_k: int | None = None, condition: Column | None = None, version: str | None = None, as_of: Column | None = None, dictionary: list[tuple[str, str]] = (), posts: DataFrame | None = None) -> DataFrame:
+def settled(found: DataFrame, few: bool) -> DataFrame:
+    """Results of few queries (a pool each) as rows of their own, so that asking who has none doesn't search again."""
+    return found.sparkSession.createDataFrame(found.toArrow(), found.schema) if few else found
+
+
+def without_results(queries: DataFrame, found: DataFrame, few: bool) -> DataFrame:
+    """The queries that found nothing."""
+    some = found.select("qid").distinct()
+    return queries.where(~F.col("qid").isin([r.qid for r in some.collect()])) if few else queries.join(some, "qid", "left_anti")
+
+
+def search(chunks: DataFrame, vectors: DataFrame, queries: DataFrame, mode: str = "hybrid", top_k: int | None = None, condition: Column | None = None, version: str | None = None, as_of: Column | None = None, dictionary: list[tuple[str, str]] = (), posts: DataFrame | None = None, section: str | None = None, path_prefix: str | None = None) -> DataFrame:
     """Results of queries (qid, query, qvec) over chunks with metadata and vectors (id, dense).
 
     (qid, rank, id, source, score, channels, deferred, drift, low_conf). mode: hybrid, semantic or exact. A query that
-    finds nothing under `version` is answered without it, and says so by drift. low_conf: the best result before
-    re-ranking had one channel only (hybrid) or a score under LOW_CONFIDENCE (semantic).
+    finds nothing under `version` is asked again without it, and says so by drift. low_conf: the best result before
+    re-ranking had one channel only (hybrid) or a score under LOW_CONFIDENCE (semantic). A section is looked for as
+    filters.in_section does; a section or path prefix that no chunk has is ignored (filters.scope_notes tells).
 
-    posts are the postings of all chunks, where a table of them is kept; else they are made once and cached, as three
-    channels read them.
+    posts are the postings of all chunks, where a table of them is kept; else texts are read for each channel, which
+    needs no shuffle of them.
     """
     k, pool = pool_size(top_k)
-    rows = chunks if condition is None else chunks.where(condition)
-    kept = posts if posts is not None or mode == "semantic" else postings(rows).persist()
+    rows = filters.below(filters.in_section(chunks, section), path_prefix)
+    rows = rows if condition is None else rows.where(condition)
     asked = queries.withColumn("sparse_query", keyword_query(F.col("query"), list(dictionary)) if dictionary else F.col("query"))
 
-    def run(part: DataFrame) -> DataFrame:
+    def run(part: DataFrame, asked: DataFrame, known: dict[int, list] | None) -> DataFrame:
         own = vectors.join(part.select("id"), "id", "left_semi")
         if mode == "semantic":
-            return dense_channel(own, asked, pool, SEMANTIC_THRESHOLD).select("qid", "id", "score", F.array(F.lit("dense")).alias("channels"), F.col("score").alias("best"))
-        posts = kept if part is rows and condition is None else kept.join(part.select("id"), "id", "left_semi")
-        exact = exact_channel(posts, part, own, asked, pool)
+            return dense_channel(own, asked, pool, SEMANTIC_THRESHOLD, known).select("qid", "id", "score", F.array(F.lit("dense")).alias("channels"), F.col("score").alias("best"))
+        met = occurrences(part) if posts is None else posts.select("id", "term").join(part.select("id"), "id", "left_semi")
+        exact = exact_channel(met, part, own, asked, pool, known=known)
         if mode == "exact":
             return exact.select("qid", "id", "score", F.array(F.lit("exact")).alias("channels"), F.col("score").alias("best"))
-        return fuse({"dense": dense_channel(own, asked, pool, HYBRID_THRESHOLD), "sparse": sparse_channel(posts, part, asked, pool), "exact": exact, "anchor": anchor_channel(posts, own, asked, pool)})
+        return fuse({"dense": dense_channel(own, asked, pool, HYBRID_THRESHOLD, known), "sparse": sparse_channel(met, part, asked, pool), "exact": exact, "anchor": anchor_channel(met, own, asked, pool, known)})
 
-    found = run(rows if version is None else rows.where(F.col("framework_version") == version)).withColumn("drift", F.lit(False))
+    known = held(asked)
+    found = run(rows if version is None else rows.where(F.col("framework_version") == version), asked, known).withColumn("drift", F.lit(False))
     if version is not None:
-        empty = asked.join(found.select("qid").distinct(), "qid", "left_anti").select("qid")
-        found = found.unionByName(run(rows).join(empty, "qid", "left_semi").withColumn("drift", F.lit(True)))
+        found = settled(found, known is not None)
+        left = without_results(asked, found, known is not None)
+        found = found.unionByName(run(rows, left, None if known is None else held(left)).withColumn("drift", F.lit(True)))
     first = Window.partitionBy("qid").orderBy(F.desc("score"), "id")
     weak = F.size("channels") < 2 if mode == "hybrid" else F.col("score") < LOW_CONFIDENCE if mode == "semantic" else F.lit(False)
     found = found.withColumn("low_conf", F.first(weak).over(first))
@@ -272,17 +376,33 @@ def search(chunks: DataFrame, vectors: DataFrame, queries: DataFrame, mode: str
     return out.select("qid", "rank", "id", "source", F.col("adj").alias("score"), "channels", "deferred", "drift", "low_conf")
 
 
-def error_lookup(chunks: DataFrame, vectors: DataFrame, queries: DataFrame, exact_only: bool = False, top_k: int | None = None) -> DataFrame:
+def error_lookup(chunks: DataFrame, vectors: DataFrame, queries: DataFrame, exact_only: bool = False, top_k: int | None = None, as_of: Column | None = None) -> DataFrame:
     """Exact results among error notes, else among all chunks, else (unless exact_only) hybrid ones; tier says which.
 
-    Queries of under 6 characters are too short to be looked up.
+    Each tier is asked only what the ones before found nothing for. Queries of under 6 characters are too short to be
+    looked up.
     """
-    asked = queries.where(F.length(T.normalize_for_search(F.col("query"))) >= 6)
-    posts = postings(chunks).persist()
-    tiers = [search(chunks, vectors, asked, "exact", top_k, F.col("kind") == "error_faq", posts=posts), search(chunks, vectors, asked, "exact", top_k, posts=posts)]
-    tiers += [] if exact_only else [search(chunks, vectors, asked, "hybrid", top_k, posts=posts)]
+    left = queries.where(F.length(T.normalize_for_search(F.col("query"))) >= 6)
+    few = held(left) is not None
     every = None
-    for i, part in enumerate(tiers):
-        part = part.withColumn("tier", F.lit(i + 1))
+    for i, (mode, condition) in enumerate([("exact", F.col("kind") == "error_faq"), ("exact", None), ("hybrid", None)][: 2 if exact_only else 3]):
+        part = settled(search(chunks, vectors, left, mode, top_k, condition, as_of=as_of).withColumn("tier", F.lit(i + 1)), few)
+        left = without_results(left, part, few)
         every = part if every is None else every.unionByName(part)
-    return every.withColumn("first", F.min("tier").over(Window.partitionBy("qid"))).where("tier = first").drop("first")
+    return every
+
+
+def rendered(results: DataFrame, chunks: DataFrame, preview: int = 600) -> DataFrame:
+    """(qid, text): a query's results as one markdown text, in order; a source and heading, the score, the beginning of the text.
+
+    Results that have an image show the path of the first; those found without the asked version or with low confidence
+    say so above all.
+    """
+    rows = results.join(chunks.select("id", "text", *[F.col(c) for c in ("heading_path", "image_refs") if c in chunks.columns]), "id")
+    heading = F.nullif(F.col("heading_path"), F.lit("")) if "heading_path" in chunks.columns else F.lit(None).cast("string")
+    image = F.when(F.size("image_refs") > 0, F.concat(F.lit("\n![]("), F.element_at("image_refs", 1), F.lit(")"))) if "image_refs" in chunks.columns else F.lit(None).cast("string")
+    cut = F.when(F.length("text") > preview, F.concat(F.substring("text", 1, preview), F.lit(" ..."))).otherwise(F.col("text"))
+    item = F.concat(F.format_string("### %d. %s", F.col("rank"), F.concat_ws(" > ", "source", heading)), F.format_string("\nscore %.4f (%s)\n\n", F.col("score"), F.concat_ws(", ", "channels")), cut, F.coalesce(image, F.lit("")))
+    found = rows.groupBy("qid").agg(F.array_sort(F.collect_list(F.struct("rank", item.alias("item")))).alias("items"), F.bool_or("drift").alias("drift"), F.bool_or("low_conf").alias("low"))
+    notes = F.concat_ws("", F.when(F.col("drift"), "> Nothing has the asked version; these are of any.\n\n"), F.when(F.col("low"), "> Low confidence.\n\n"))
+    return found.select("qid", F.concat(notes, F.concat_ws("\n\n", F.col("items.item"))).alias("text"))
