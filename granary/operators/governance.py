@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from granary.functions import meta
+from granary.functions import images, meta
 from granary.functions import text as T
 from granary.operators.chunking import prefixes
 
@@ -137,6 +138,37 @@ def caption_coverage(chunks: DataFrame) -> DataFrame:
     ).crossJoin(F.broadcast(per_doc))
 
 
+@F.pandas_udf("struct<caption:string,level:string>")
+def _stub(rows: pd.DataFrame) -> pd.DataFrame:
+    """The caption that can be told without the text around an image: by the image's name, or by where it is."""
+    keys = ["heading", "title", "heading_path", "image_refs"]
+    found = [images.caption_of(h or "", [], t or "", p or h or "", list(refs) if refs is not None else []) for h, t, p, refs in rows[keys].itertuples(index=False)]
+    return pd.DataFrame(found, columns=["caption", "level"])
+
+
+def with_captions(chunks: DataFrame) -> DataFrame:
+    """chunks whose images have no caption with one, in image_captions and image_caption_source; the others as they are."""
+    lacking = (F.size("image_refs") > 0) & ~F.coalesce(meta.is_set(F.col("image_captions")), F.lit(False))
+    told = chunks.withColumn("_told", F.when(lacking, _stub(F.struct("heading", "title", "heading_path", "image_refs"))))
+    new = lambda field, old: F.coalesce(F.nullif(F.col("_told")[field], F.lit("")), F.col(old))
+    return told.withColumns({"image_captions": new("caption", "image_captions"), "image_caption_source": F.when(F.col("_told.caption") != "", F.col("_told.level")).otherwise(F.col("image_caption_source"))}).drop("_told")
+
+
+def caption_groups(before: DataFrame, after: DataFrame) -> DataFrame:
+    """(caption, level, chunks) of the captions that `after` has and `before` hasn't, by id."""
+    old = before.select("id", F.col("image_captions").alias("_old"))
+    new = after.join(old, "id").where(~F.col("image_captions").eqNullSafe(F.col("_old")))
+    return new.groupBy(F.col("image_captions").alias("caption"), F.col("image_caption_source").alias("level")).agg(F.count(F.lit(1)).alias("chunks"))
+
+
+def to_embed_again(before: DataFrame, after: DataFrame, mark: str = "[图注]") -> DataFrame:
+    """(source) of documents with a new caption, or with one that their text, and so their vectors, don't have."""
+    old = before.select("id", F.col("image_captions").alias("_old"))
+    new = after.join(old, "id").where(~F.col("image_captions").eqNullSafe(F.col("_old"))).select("source")
+    stale = before.where((F.size("image_refs") > 0) & meta.is_set(F.col("image_captions")) & ~F.col("text").contains(mark)).select("source")
+    return new.union(stale).distinct()
+
+
 def vector_quality(vectors: DataFrame, dim: int, sample: int | None = None) -> DataFrame:
     """(issue, n, pct) over all vectors, or over a quick look at some; ok where there is none."""
     vectors = vectors if sample is None else vectors.limit(sample)

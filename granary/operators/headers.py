@@ -2,16 +2,18 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
 from difflib import SequenceMatcher
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import BooleanType
 
 # Which lines go depends on them.
 HEAD, FOOT, RATIO, SIMILAR, MIN_PAGES = 5, 3, 0.7, 0.8, 3
+PLACEHOLDER = "[图片占位符"
+#: Lines of a tile of comparisons, classes of characters of the bound on a ratio, how much longer than another an alike line can be, and a little.
+TILE, CLASSES, SPREAD = 512, 64, 1.51
 
 
 def alike(a: str, b: str, least: float = SIMILAR) -> bool:
@@ -25,12 +27,6 @@ def alike(a: str, b: str, least: float = SIMILAR) -> bool:
     return m.real_quick_ratio() >= least and m.quick_ratio() >= least and m.ratio() >= least
 
 
-@F.pandas_udf(BooleanType())
-def similar(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
-    for a, b in batches:
-        yield pd.Series([alike(x, y) for x, y in zip(a, b, strict=True)], dtype=bool)
-
-
 def edge_lines(pages: DataFrame, head: int = HEAD, foot: int = FOOT) -> DataFrame:
     """(doc, page, line_no, line, place) of the first and last lines of pages (doc, page, text): h1, h2, ..., f1, f2, ... ."""
     lines = pages.select("doc", "page", F.posexplode(F.split("text", "\n")).alias("line_no", "line"), F.size(F.split("text", "\n")).alias("n"))
@@ -39,22 +35,62 @@ def edge_lines(pages: DataFrame, head: int = HEAD, foot: int = FOOT) -> DataFram
     return lines.withColumn("place", F.explode(F.array_compact(F.array(from_top, from_end)))).drop("n")
 
 
+def _classes(lines: list[str]) -> np.ndarray:
+    """How many characters of each class a line has."""
+    out = np.zeros((len(lines), CLASSES), np.int32)
+    for i, line in enumerate(lines):
+        np.add.at(out[i], np.frombuffer(line.encode("utf-32-le"), np.uint32) % CLASSES, 1)
+    return out
+
+
+def _compared(tile: pd.DataFrame) -> pd.DataFrame:
+    """The lines of a tile with the pages of the lines that are alike: of one block all pairs, of two those across.
+
+    A ratio is at most twice the characters that two lines share over their lengths; only where classes of characters
+    allow it are lines compared in full. That is asked in both directions, as matching isn't symmetric.
+    """
+    text, n, block, band = tile["text"].tolist(), tile["n"].to_numpy(), tile["block"].to_numpy(), tile["band"].to_numpy()
+    count, size = _classes(text), np.array([len(t) for t in text])
+    more = np.zeros(len(text), np.int64)
+    across, cell = tile["lo"].iloc[0] != tile["hi"].iloc[0], tile["cell"].iloc[0]
+    for i in range(len(text)):
+        others = (np.minimum(band, band[i]) == cell) & ((block != block[i]) if across else (np.arange(len(text)) != i))
+        shared = np.minimum(count[others], count[i]).sum(axis=1)
+        at = np.flatnonzero(others)[2 * shared >= SIMILAR * (size[others] + size[i])]
+        more[i] = sum(int(n[j]) for j in at if alike(text[i], text[j]))
+    return pd.DataFrame({"doc": tile["doc"], "place": tile["place"], "text": text, "more": more})
+
+
+def _alike_pages(weighted: DataFrame) -> DataFrame:
+    """(doc, place, text, more): on how many pages other lines of the document and place are that are alike.
+
+    Alike lines differ by at most SPREAD in length, so a line meets only its own band of lengths and the next one; a
+    band's lines are dealt to blocks of about TILE, and two blocks meet in a task. However many lines a document has
+    at a place, no task holds more than two blocks; no pairs are emitted.
+    """
+    band = F.floor(F.log(F.length("text")) / F.log(F.lit(SPREAD)) - F.lit(1e-9)).cast("int")
+    lines = weighted.withColumn("band", band).withColumn("cell", F.explode(F.array(F.col("band"), F.col("band") - 1)))
+    sizes = lines.groupBy("doc", "place", "cell").agg(F.ceil(F.count(F.lit(1)) / TILE).cast("int").alias("blocks"), F.count(F.lit(1)).alias("lines")).where("lines > 1").drop("lines")
+    dealt = lines.join(sizes, ["doc", "place", "cell"]).withColumn("block", F.pmod(F.xxhash64("text"), F.col("blocks")).cast("int"))
+    met = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    met = met.select("doc", "place", "cell", "band", "text", "n", "block", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"))
+    schema = f"doc {weighted.schema['doc'].dataType.simpleString()}, place string, text string, more long"
+    return met.groupBy("doc", "place", "cell", "lo", "hi").applyInPandas(_compared, schema).groupBy("doc", "place", "text").agg(F.sum("more").alias("more"))
+
+
 def votes(edges: DataFrame, pages: DataFrame, fuzzy: bool = True) -> DataFrame:
     """(doc, place, text, votes, needed): on how many pages a line is at a place, alike ones counted together if fuzzy.
 
     Lines are made distinct within a document and place first and weighted by their pages, so pages that all have the
-    same footer compare once; only lines of near lengths meet.
+    same footer compare once. Lines that begin with an image's placeholder have no vote.
     """
-    clean = edges.withColumn("text", F.trim("line")).where((F.col("text") != "") & ~F.col("text").contains("[图]"))
+    clean = edges.withColumn("text", F.trim("line")).where((F.col("text") != "") & ~F.col("text").startswith(PLACEHOLDER))
     weighted = clean.groupBy("doc", "place", "text").agg(F.countDistinct("page").alias("n"))
     total = pages.groupBy("doc").agg(F.countDistinct("page").alias("pages")).where(F.col("pages") >= MIN_PAGES)
     needed = F.greatest(F.lit(2), F.floor(F.col("pages") * RATIO)).cast("long")
     if fuzzy:
-        other = weighted.select("doc", "place", F.col("text").alias("other"), F.col("n").alias("m"))
-        near = F.abs(F.length("text") - F.length("other")) <= 0.5 * F.greatest(F.length("text"), F.length("other"))
-        met = weighted.join(other, ["doc", "place"]).where(near & (F.col("text") != F.col("other")))
-        more = met.where(similar("text", "other")).groupBy("doc", "place", "text").agg(F.sum("m").alias("more"))
-        weighted = weighted.join(more, ["doc", "place", "text"], "left").withColumn("n", F.col("n") + F.coalesce("more", F.lit(0)))
+        weighted = weighted.join(total.select("doc"), "doc", "left_semi")
+        weighted = weighted.join(_alike_pages(weighted), ["doc", "place", "text"], "left").withColumn("n", F.col("n") + F.coalesce("more", F.lit(0)))
     return weighted.join(total, "doc").select("doc", "place", "text", F.col("n").alias("votes"), needed.alias("needed"))
 
 

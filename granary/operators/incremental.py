@@ -74,8 +74,32 @@ class ChunkTable:
     def read(self) -> DataFrame:
         return self.spark.read.parquet(self.path).drop("bucket")
 
+    def _files(self):
+        path = self.spark._jvm.org.apache.hadoop.fs.Path
+        return path, path(self.path).getFileSystem(self.spark._jsc.hadoopConfiguration())
+
+    def exists(self) -> bool:
+        """Whether any bucket has been written."""
+        path, fs = self._files()
+        return bool(fs.globStatus(path(f"{self.path}/bucket=*")))
+
     def upsert(self, new: DataFrame, deleted: DataFrame | None = None) -> None:
-        """Replace the sources of `new` and drop those of `deleted`."""
+        """Replace the sources of `new` and drop those of `deleted`; without a table, make it of `new`.
+
+        The new rows are put beside the table first, so what made them (parsing, embedding) runs once.
+        """
+        if not self.exists():
+            return self.create(new)
+        arrived = f"{self.path}.arrived"
+        new.write.mode("overwrite").parquet(arrived)
+        new = self.spark.read.schema(new.schema).parquet(arrived)
+        try:
+            self._replace(new, deleted)
+        finally:
+            path, fs = self._files()
+            fs.delete(path(arrived), True)
+
+    def _replace(self, new: DataFrame, deleted: DataFrame | None) -> None:
         sources = new.select("source") if deleted is None else new.select("source").union(deleted.select("source"))
         touched = [r.b for r in sources.select(self.bucket().alias("b")).distinct().collect()]  # at most `buckets` numbers
         if not touched:
@@ -87,8 +111,7 @@ class ChunkTable:
         again = self.spark.read.parquet(staged)
         again.repartition("bucket").sortWithinPartitions("bucket", "source").write.option("partitionOverwriteMode", "dynamic").partitionBy("bucket").mode("overwrite").parquet(self.path)
         emptied = set(touched) - {r.bucket for r in again.select("bucket").distinct().collect()}
-        fs_path = self.spark._jvm.org.apache.hadoop.fs.Path
-        fs = fs_path(self.path).getFileSystem(self.spark._jsc.hadoopConfiguration())
+        fs_path, fs = self._files()
         for b in emptied:
             fs.delete(fs_path(f"{self.path}/bucket={b}"), True)
         fs.delete(fs_path(staged), True)

@@ -13,8 +13,18 @@ SPACES = r"[\s\x{1C}-\x{1F}\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}
 WORDS = r"[\p{L}\p{N}_]+"
 
 
+#: Tables of texts by their key, and how much of one a core has before its scan alone keeps all cores busy.
+TEXTS = {"documents": "doc_id", "pages": "page_id"}
+BYTES_A_CORE = 16 << 20
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    """A table; a small one of texts is dealt to all cores, as a file of one row group is read by one task however it is split."""
+    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    cores = spark.sparkContext.defaultParallelism
+    if name in TEXTS and int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) < cores * BYTES_A_CORE:
+        df = df.repartition(cores, TEXTS[name])
+    return df
 
 
 def corpus(spark: SparkSession, sf_dir: str) -> DataFrame:

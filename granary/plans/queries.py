@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -87,16 +88,36 @@ def semantic_search(s, d):
     return retrieval.search(chunks, vectors(s, d), requests(s, d), "semantic", as_of=F.lit(AS_OF)).select("qid", "rank", "id", "score", "low_conf")
 
 
-@query()
+def _own_fused(search: str) -> str:
+    return search.replace("fused AS (SELECT qid, id,\n", "fused0 AS (SELECT qid, id,\n", 1)
+
+
+@query(f"WITH {CORPUS}, {_own_fused(SEARCH)}, fused AS (SELECT qid, id, score, 'exact' AS channels FROM exact), {RERANK} SELECT qid, CAST(rank AS INTEGER) AS rank, id, true AS drift FROM taken WHERE rank <= 5")
 def version_drift(s, d):
+    """No document has the asked version, so every query is answered without it and says so."""
     chunks = corpus(s, d).withColumn("source", F.col("folder"))
     return retrieval.search(chunks, vectors(s, d), requests(s, d), "exact", version="9.9.9.9", as_of=F.lit(AS_OF)).select("qid", "rank", "id", "drift")
 
 
-@query()
+@query(f"""WITH {CORPUS}, {_own_fused(SEARCH)}, long AS (SELECT qid FROM q WHERE length(needle) >= 6),
+emet AS (SELECT m.* FROM met m JOIN corpus c ON c.id = m.id WHERE c.kind = 'error_faq'),
+enear AS (SELECT * FROM (SELECT m.qid, m.id, s.score, row_number() OVER (PARTITION BY m.qid ORDER BY s.score DESC, m.id) AS r
+  FROM emet m JOIN sim s ON s.qid = m.qid AND s.id = m.id WHERE m.tier = (SELECT min(tier) FROM emet o WHERE o.qid = m.qid)) WHERE r <= 15),
+fused1 AS (SELECT n.qid, n.id, n.score, 'exact' AS channels FROM enear n JOIN q ON q.qid = n.qid JOIN corpus c ON c.id = n.id WHERE contains(c.search_text, q.needle)),
+{re.sub(r"(item|pos|nrk|def|srk|taken|fused)(?![a-z])", r"\g<1>1", RERANK)}, fused AS (SELECT qid, id, score, 'exact' AS channels FROM exact), {RERANK}
+SELECT qid, CAST(rank AS INTEGER) AS rank, id, 1 AS tier FROM taken1 WHERE rank <= 5 AND qid IN (FROM long) UNION ALL
+SELECT qid, CAST(rank AS INTEGER), id, 2 FROM taken WHERE rank <= 5 AND qid IN (FROM long) AND qid NOT IN (SELECT qid FROM taken1)""")
 def error_lookup(s, d):
     chunks = corpus(s, d).withColumn("source", F.col("folder"))
-    return retrieval.error_lookup(chunks, vectors(s, d), requests(s, d), exact_only=True).select("qid", "rank", "id", "tier")
+    return retrieval.error_lookup(chunks, vectors(s, d), requests(s, d), exact_only=True, as_of=F.lit(AS_OF)).select("qid", "rank", "id", "tier")
+
+
+@query(f"""WITH {CORPUS}, s AS (SELECT id, folder, lower(folder) = 'rc1' AS whole, contains(lower(folder), 'rc1') AS part FROM corpus)
+SELECT id, folder FROM s WHERE id % 3 = 0 AND CASE WHEN (SELECT bool_or(whole) FROM s) THEN whole WHEN (SELECT bool_or(part) FROM s) THEN part ELSE true END""")
+def section_cascade(s, d):
+    """Rows whose section contains a text, as no section is it; a path prefix that no source has is ignored."""
+    c = corpus(s, d).withColumn("heading_path", F.col("folder"))
+    return filters.below(filters.in_section(c, " RC1 "), "nowhere/").where("id % 3 = 0").select("id", "folder")
 
 
 @query(f"""WITH {CORPUS}, {SEARCH}, {RERANK}, truth AS (SELECT q.qid, c.id FROM q JOIN corpus c ON contains(c.search_text, q.needle)),
@@ -284,11 +305,11 @@ def image_resolution(s, d):
     return found.crossJoin(F.broadcast(governance.image_audit(found).select("refs", F.col("reachable").alias("n_reachable"), "external", "unresolved")))
 
 
-@query()
+@query("""SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN 'x' || doc_id || ' StraightConveyor Speed' WHEN 1 THEN 'plain x' || doc_id WHEN 2 THEN '没有 x' || doc_id ELSE 'x' || doc_id || ' conveyor Blocking Blocked' END AS words FROM documents""")
 def keyword_rewrite(s, d):
-    rows = [(1, "直线输送机 速度 Foo.Bar"), (2, "plain english"), (3, "没有"), (4, "阻塞 AGV")]
+    asked = F.element_at(F.array(*map(F.lit, ("直线输送机 速度 x", "plain x", "没有 x", "阻塞 输送机 x"))), (F.col("doc_id") % 4 + 1).cast("int"))
     words = [("直线输送机", "StraightConveyor"), ("输送机", "conveyor"), ("速度", "Speed"), ("阻塞", "Blocking Blocked")]
-    return s.createDataFrame(rows, "qid long, query string").select("qid", retrieval.keyword_query(F.col("query"), words).alias("words"))
+    return table(s, d, "documents").select("doc_id", retrieval.keyword_query(F.concat(asked, "doc_id"), words).alias("words"))
 
 
 # Chunks and terms
@@ -483,7 +504,7 @@ def vector_quality(s, d):
 
 @query("""WITH l AS (SELECT source AS doc, doc_id AS page, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS i, len(string_split(text, chr(10))) AS n FROM documents),
 e AS (SELECT doc, page, trim(line) AS text, 'h' || (i + 1) AS place FROM l WHERE i < 5 UNION ALL SELECT doc, page, trim(line), 'f' || (n - i) FROM l WHERE n - i <= 3),
-v AS (SELECT doc, place, text, count(DISTINCT page) AS votes FROM e WHERE text <> '' AND NOT contains(text, '[图]') GROUP BY doc, place, text), p AS (SELECT source AS doc, count(DISTINCT doc_id) AS pages FROM documents GROUP BY source HAVING count(DISTINCT doc_id) >= 3)
+v AS (SELECT doc, place, text, count(DISTINCT page) AS votes FROM e WHERE text <> '' AND NOT starts_with(text, '[图片占位符') GROUP BY doc, place, text), p AS (SELECT source AS doc, count(DISTINCT doc_id) AS pages FROM documents GROUP BY source HAVING count(DISTINCT doc_id) >= 3)
 SELECT v.doc, place, md5(text) AS text, votes, CAST(greatest(2, floor(pages * 0.7::DOUBLE)) AS BIGINT) AS needed FROM v JOIN p ON p.doc = v.doc""")
 def header_footer_votes(s, d):
     pages = table(s, d, "documents").select(F.col("source").alias("doc"), F.col("doc_id").alias("page"), "text")
@@ -492,10 +513,9 @@ def header_footer_votes(s, d):
 
 @query()
 def fuzzy_header_footer(s, d):
-    words = ["alpha beams", "one short", "rack and pinion design", "on levers", "hydraulics: a longer line than the others", "x", "cams", "a table of gears", "index", "notes on wear"]
-    body = lambda p: "\n".join(f"{w} {'.' * (p + 3 * i)}" for i, w in enumerate(words[p:] + words[:p]))
-    rows = [("a", p, f"Manual 2.4 - Chapter {p % 3}\n{p}\n{body(p)}\nFooter text\n{p}") for p in range(10)]
-    return headers.strip_headers(s.createDataFrame(rows, "doc string, page long, text string"))
+    """Every document without the lines that documents of its source have at one place, alike ones counted together."""
+    pages = table(s, d, "documents").select(F.col("source").alias("doc"), F.col("doc_id").alias("page"), "text")
+    return headers.strip_headers(pages).select("doc", "page", F.length("text").alias("n"), F.md5("text").alias("hash"))
 
 
 _LINES = "l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS i FROM documents), f AS (SELECT doc_id, i, CASE WHEN i % 4 = 1 THEN '  ```' ELSE line END AS line FROM l)"
@@ -526,10 +546,15 @@ def blocks_without_tables(s, d):
     return headers.without_covered(rectangles("part", "p_partkey", 7, 11, 2.0, 1.0), rectangles("supplier", "s_suppkey", 5, 8, 3.0, 2.5)).select("id", "page", "reading_order")
 
 
-@query()
+@query("""WITH r AS (SELECT DISTINCT p_brand AS source, p_partkey % 50 AS k FROM part WHERE p_partkey % 3 <> 0), z AS (SELECT DISTINCT p_partkey % 50 AS k FROM part WHERE p_partkey % 50 <> 7)
+SELECT source, path, size FROM (SELECT source, 'i' || k AS path, k * 7 % 20 AS size, row_number() OVER (PARTITION BY source ORDER BY k * 7 % 20 DESC, 'i' || k) AS r FROM r JOIN z USING (k)) WHERE r = 1""")
 def largest_image(s, d):
-    refs = s.createDataFrame([("a.md", "x.png", True), ("a.md", "y.png", True), ("b.md", "z.png", False), ("c.md", "x.png", True), ("a.md", "w.png", True)], "source string, path string, reachable boolean")
-    return images.largest(refs, s.createDataFrame([("x.png", 5), ("y.png", 9), ("w.png", 9), ("z.png", 99)], "path string, size long"))
+    """Parts as references of their brands to images, every third of them lost; one image has no size."""
+    k = F.col("p_partkey") % 50
+    path = F.concat(F.lit("i"), k).alias("path")
+    parts = table(s, d, "part")
+    refs = parts.select(F.col("p_brand").alias("source"), path, (F.col("p_partkey") % 3 != 0).alias("reachable"))
+    return images.largest(refs, parts.where(k != 7).select(path, (k * 7 % 20).alias("size")).distinct())
 
 
 # Incremental maintenance

@@ -19,8 +19,16 @@ SUFFIXES = (".md", ".pdf", ".docx", ".txt")
 ARTIFACT_SUFFIXES = (".md", ".yaml", ".yml", ".json", ".qlp", ".txt")
 
 
-def scan(spark: SparkSession, folder: str, suffixes: tuple[str, ...] = SUFFIXES) -> DataFrame:
-    """(path, content, modified, size, hash, suffix) of files under a folder; office lock files, backups and assets don't count."""
+def readable() -> tuple[str, ...]:
+    """The suffixes that there are readers for: PDF only with its library, so that no PDF passes for read without."""
+    from importlib.util import find_spec
+
+    return SUFFIXES if find_spec("fitz") is not None else tuple(s for s in SUFFIXES if s != ".pdf")
+
+
+def scan(spark: SparkSession, folder: str, suffixes: tuple[str, ...] | None = None) -> DataFrame:
+    """(path, content, modified, size, hash, suffix) of readable files under a folder; office lock files, backups and assets don't count."""
+    suffixes = suffixes or readable()
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder)
     name = T.basename(F.col("path"))
     kept = files.withColumn("suffix", T.extension(F.col("path"))).where(F.col("suffix").isin(*suffixes) & ~name.startswith("~$") & ~F.lower("path").rlike(r"/assets/|\.bak$"))
@@ -110,9 +118,7 @@ def chunks(files: DataFrame, pdf: bool | None = None) -> DataFrame:
     docx = files.where("suffix = '.docx'").select("path", "content", "hash").mapInPandas(_docx, "source string, file_hash string, chunk_index int, heading string, body string, has_image boolean")
     out = chunking.markdown_chunks(texts(files, ".md")).unionByName(chunking.text_chunks(texts(files, ".txt"))).unionByName(paged_chunks(docx))
     if pdf is None:
-        from importlib.util import find_spec
-
-        pdf = find_spec("fitz") is not None
+        pdf = ".pdf" in readable()
     if pdf:
         from granary.operators.headers import strip_headers
 

@@ -360,3 +360,89 @@ def test_caption_levels():
     assert cap("![](a.png)", refs=["x/Conveyor%20Direction_Arrows.png", "img_1.png"]) == ("Doc > Part（图：Conveyor Direction Arrows）", "filename")
     assert cap("![](a.png)") == ("Doc > Part", "heading")
     assert images.caption_of("", [], "", "", []) == ("", "")
+
+
+def test_fuzzy_votes_equal_brute_force(spark, monkeypatch):
+    r = random.Random(3)
+    words = ["report", "chapter", "draft", "manual", "rack", "x", "index of the gears"]
+    lines = {(d, p): [" ".join(r.choices(words, k=r.randint(1, 4))) + r.choice(["", "", f" {p}"]) for _ in range(2)] for d in "ab" for p in range(40)}
+    pages = spark.createDataFrame([(d, p, "\n".join(x)) for (d, p), x in lines.items()], "doc string, page long, text string")
+    want = {}
+    for (d, p), own in lines.items():
+        for i, place in ((0, "h1"), (1, "h2"), (1, "f1"), (0, "f2")):
+            want[d, place, own[i]] = sum(headers.alike(own[i], other[i]) for (e, _), other in lines.items() if e == d)
+    for tile in (512, 5):  # one block, and many that meet in pairs
+        monkeypatch.setattr(headers, "TILE", tile)
+        got = {(v.doc, v.place, v.text): v.votes for v in headers.votes(headers.edge_lines(pages), pages).collect()}
+        assert got == want
+
+
+def test_section_and_prefix_scopes(spark):
+    rows = [(1, "a/x.md", "Basics > Belts"), (2, "a/y.md", "Basics"), (3, "b/z.md", "More Basics"), (4, "b/z.md", None)]
+    chunks = spark.createDataFrame(rows, "id long, source string, heading_path string")
+    ids = lambda df: sorted(v.id for v in df.collect())
+    assert ids(filters.in_section(chunks, "basics ")) == [2]
+    assert ids(filters.in_section(chunks, "basics>belts")) == [1]
+    assert ids(filters.in_section(chunks, "asic")) == [1, 2, 3]
+    assert ids(filters.in_section(chunks, "nothing")) == ids(filters.in_section(chunks, None)) == [1, 2, 3, 4]
+    assert ids(filters.below(chunks, "A/")) == [1, 2]
+    assert ids(filters.below(chunks, "c/")) == [1, 2, 3, 4]
+    notes = {v.asked: (v.documents, v.ignored) for v in filters.scope_notes(chunks, "asic", "c/").collect()}
+    assert notes == {"section": (3, False), "path_prefix": (0, True)}
+
+
+def test_vectors_of_several_lengths(spark):
+    vectors = spark.createDataFrame([(1, [1.0, 0.0]), (2, [1.0, 0.0, 0.0]), (3, [0.0, 1.0]), (4, None), (5, [float("nan"), 1.0])], "id long, dense array<double>").coalesce(1)
+    queries = spark.createDataFrame([(7, [1.0, 0.0]), (8, [1.0, 0.0, 0.0]), (9, None)], "qid long, qvec array<double>")
+    assert sorted((v.qid, v.id, v.score) for v in retrieval.dense_channel(vectors, queries, 3, None).collect()) == [(7, 1, 1.0), (7, 3, 0.0), (8, 2, 1.0)]
+    pairs = spark.createDataFrame([(q, i) for q in (7, 8, 9) for i in range(1, 6)], "qid long, id long")
+    assert sorted((v.qid, v.id) for v in retrieval.similarities(vectors, queries, pairs).collect()) == [(7, 1), (7, 3), (8, 2)]
+
+
+def test_more_queries_than_are_held_at_once(spark, monkeypatch):
+    chunks = spark.createDataFrame([(i, f"w{i % 7} w{i % 3} common {'w5 ' * (i % 4)}") for i in range(60)], "id long, search_text string")
+    vectors = spark.createDataFrame([(i, [float(i % 5), 1.0]) for i in range(60)], "id long, dense array<double>")
+    queries = spark.createDataFrame([(q, f"w{q} common", f"w{q} common", [float(q), 1.0]) for q in range(9)], "qid long, query string, sparse_query string, qvec array<double>")
+    run = lambda: [sorted(map(tuple, x.select("qid", "id", "score", "rank").collect())) for x in (retrieval.sparse_channel(retrieval.occurrences(chunks), chunks, queries, 4), retrieval.dense_channel(vectors, queries, 4, None), retrieval.exact_channel(retrieval.occurrences(chunks), chunks, vectors, queries, 4))]
+    whole = run()
+    monkeypatch.setattr(retrieval, "QUERIES_AT_ONCE", 4)
+    assert run() == whole and len(whole[0]) == 36
+
+
+def test_rendered_results(spark):
+    chunks = spark.createDataFrame([(1, "t" * 700, "A > B", ["i.png"]), (2, "short", "", None)], "id long, text string, heading_path string, image_refs array<string>")
+    results = spark.createDataFrame([(5, 1, 1, "s.md", 0.5, ["dense"], True, False), (5, 2, 2, "r.md", 0.25, ["exact", "dense"], True, False)], "qid long, rank int, id long, source string, score double, channels array<string>, drift boolean, low_conf boolean")
+    text = retrieval.rendered(results, chunks).first().text
+    assert text.startswith("> Nothing has the asked version")
+    assert "### 1. s.md > A > B\nscore 0.5000 (dense)\n\n" + "t" * 600 + " ...\n![](i.png)\n\n### 2. r.md\n" in text and text.endswith("short")
+
+
+def test_mined_terms(spark):
+    from granary.operators import terms
+
+    docs = spark.createDataFrame([("d1", "v/01 - Photo Eye.md", "# Motor Speed\nuse `Foo.Bar` and RackJob. The png x.png"), ("d2", "v/b.md", "RackJob")], "doc string, path string, text string")
+    found = terms.mined_df(terms.mined(docs, name="path"))
+    assert {(v.term, v.df, tuple(v.examples)) for v in found.collect()} == {("Foo.Bar", 1, ("d1",)), ("RackJob", 2, ("d1", "d2")), ("Photo Eye", 1, ("d1",)), ("Motor Speed", 1, ("d1",)), ("Foo Bar", 1, ("d1",))}
+
+
+def test_captions_are_written_where_they_lack(spark):
+    from granary.operators import governance
+
+    rows = [(1, "a.md", "x", "Head", "T", "T > Head", ["Conveyor%20Arrows.png"], None, None), (2, "a.md", "x", "Head", "T", "T > Head", ["img1.png"], "", ""), (3, "b.md", "x", "", "", "", ["c.png"], "known", "alt"), (4, "c.md", "x", "", "", "", None, None, None)]
+    before = spark.createDataFrame(rows, "id long, source string, text string, heading string, title string, heading_path string, image_refs array<string>, image_captions string, image_caption_source string")
+    after = governance.with_captions(before)
+    got = {v.id: (v.image_captions, v.image_caption_source) for v in after.collect()}
+    assert got == {1: ("T > Head（图：Conveyor Arrows）", "filename"), 2: ("T > Head", "heading"), 3: ("known", "alt"), 4: (None, None)}
+    assert sorted((v.level, v.chunks) for v in governance.caption_groups(before, after).collect()) == [("filename", 1), ("heading", 1)]
+    assert sorted(v.source for v in governance.to_embed_again(before, after).collect()) == ["a.md", "b.md"]
+
+
+def test_publish_and_unknown_formats(spark, tmp_path):
+    from granary.operators.indexing import index_file, publish
+
+    report = spark.createDataFrame([("in/a.md", "# A\n" + "words of a text that is long enough. " * 3, True), ("in/b.md", "# B\nbad", False)], "path string, text string, accepted boolean")
+    table = incremental.ChunkTable(spark, str(tmp_path / "published"), 2)
+    for _ in range(2):
+        assert sorted((v.path, v.accepted, v.chunks) for v in publish(report, table).collect()) == [("in/a.md", True, 1), ("in/b.md", False, None)]
+    with pytest.raises(ValueError, match="no reader"):
+        index_file(spark, "x.odt", table, spark.createDataFrame([], "path string, hash string, parser_version string"))
