@@ -5,6 +5,7 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from granary.functions import images, meta
 from granary.functions import text as T
@@ -138,7 +139,7 @@ def caption_coverage(chunks: DataFrame) -> DataFrame:
     ).crossJoin(F.broadcast(per_doc))
 
 
-@F.pandas_udf("struct<caption:string,level:string>")
+@F.pandas_udf(StructType().add("caption", "string").add("level", "string"))
 def _stub(rows: pd.DataFrame) -> pd.DataFrame:
     """The caption that can be told without the text around an image: by the image's name, or by where it is."""
     keys = ["heading", "title", "heading_path", "image_refs"]
