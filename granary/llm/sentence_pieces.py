@@ -167,7 +167,7 @@ class Sampler:
         state0 = stop - size + np.arange(len(stretches))
         to = source + own + length
         place = to - state0[own]
-        order = np.argsort(place << 40 | to << 8 | length)
+        order = np.lexsort((to << 8 | length, place))
         to, length, label, weight, place = (x[order] for x in (to, length, label, weight, place))
         forward = np.zeros(len(codes) + len(stretches))
         joint = np.empty(len(to))
