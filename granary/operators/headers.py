@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from difflib import SequenceMatcher
 
 import numpy as np
@@ -9,11 +10,13 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from granary.functions.text import SPACE
+
 # Which lines go depends on them.
 HEAD, FOOT, RATIO, SIMILAR, MIN_PAGES = 5, 3, 0.7, 0.8, 3
 PLACEHOLDER = "[图片占位符"
-#: Lines of a tile of comparisons, classes of characters of the bound on a ratio, how much longer than another an alike line can be, and a little.
-TILE, CLASSES, SPREAD = 512, 64, 1.51
+#: Lines of a tile of comparisons, classes of characters of the bound on a ratio, how much longer than another an alike line can be, and a little; steps of logarithms of lengths.
+TILE, CLASSES, SPREAD, LOG = 512, 64, 1.51, 1_000_000
 
 
 def alike(a: str, b: str, least: float = SIMILAR) -> bool:
@@ -44,45 +47,70 @@ def _classes(lines: list[str]) -> np.ndarray:
 
 
 def _compared(tile: pd.DataFrame) -> pd.DataFrame:
-    """The lines of a tile with the pages of the lines that are alike: of one block all pairs, of two those across.
+    """The asked lines of a tile with the pages of its other lines that are alike.
 
     A ratio is at most twice the characters that two lines share over their lengths; only where classes of characters
-    allow it are lines compared in full. That is asked in both directions, as matching isn't symmetric.
+    allow it are lines compared in full. The asked line is the first of the two, as matching isn't symmetric.
     """
-    text, n, block, band = tile["text"].tolist(), tile["n"].to_numpy(), tile["block"].to_numpy(), tile["band"].to_numpy()
-    count, size = _classes(text), np.array([len(t) for t in text])
-    more = np.zeros(len(text), np.int64)
-    across, cell = tile["lo"].iloc[0] != tile["hi"].iloc[0], tile["cell"].iloc[0]
-    for i in range(len(text)):
-        others = (np.minimum(band, band[i]) == cell) & ((block != block[i]) if across else (np.arange(len(text)) != i))
+    text, n, band, asked = tile["text"].tolist(), tile["n"].to_numpy(), tile["band"].to_numpy(), tile["asked"].to_numpy(bool)
+    bare, cell = [t.strip() for t in text], tile["cell"].iloc[0]
+    count, size = _classes(bare), np.array([len(t) for t in bare])
+    rows, more = np.flatnonzero(asked), []
+    for i in rows:
+        others = np.flatnonzero(~asked & (np.minimum(band, band[i]) == cell))
         shared = np.minimum(count[others], count[i]).sum(axis=1)
-        at = np.flatnonzero(others)[2 * shared >= SIMILAR * (size[others] + size[i])]
-        more[i] = sum(int(n[j]) for j in at if alike(text[i], text[j]))
-    return pd.DataFrame({"doc": tile["doc"], "place": tile["place"], "text": text, "more": more})
+        at = others[2 * shared >= SIMILAR * (size[others] + size[i])]
+        more.append(sum(int(n[j]) for j in at if text[j] != text[i] and alike(text[i], text[j])))
+    return pd.DataFrame({c: np.array([tile[c].iloc[i] for i in rows], object) for c in ("doc", "place", "text")} | {"more": np.array(more, np.int64)})
+
+
+def _size() -> Column:
+    """Characters of a line without white space around it, as they are compared, and at least one."""
+    return F.greatest(F.length(F.regexp_replace("text", f"^{SPACE}+|{SPACE}+$", "")), F.lit(1))
+
+
+def _reachable(weighted: DataFrame, total: DataFrame) -> DataFrame:
+    """weighted (doc, place, text, n) with asked: whether the pages of all lines of about its length, alike or not, are enough.
+
+    Alike lines differ by at most SPREAD in length, so no line has more votes than lines within that have pages. This
+    is asked of the numbers of pages by length, not of pairs.
+    """
+    by_size, reach = weighted.withColumn("size", _size()), math.ceil(math.log(SPREAD) * LOG)
+    near = Window.partitionBy("doc", "place").orderBy(F.floor(F.log("size") * LOG)).rangeBetween(-reach, reach)
+    most = by_size.groupBy("doc", "place", "size").agg(F.sum("n").alias("n")).withColumn("most", F.sum("n").over(near))
+    enough = most.join(total, "doc").where(F.col("most") >= F.col("needed")).select("doc", "place", "size", F.lit(True).alias("asked"))
+    return by_size.join(enough, ["doc", "place", "size"], "left").withColumn("asked", F.coalesce("asked", F.lit(False))).drop("size")
 
 
 def _alike_pages(weighted: DataFrame) -> DataFrame:
-    """(doc, place, text, more): on how many pages other lines of the document and place are that are alike.
+    """(doc, place, text, more): on how many pages other lines of the document and place are that are alike, of lines that are asked.
 
     Alike lines differ by at most SPREAD in length, so a line meets only its own band of lengths and the next one; a
-    band's lines are dealt to blocks of about TILE, and two blocks meet in a task. However many lines a document has
-    at a place, no task holds more than two blocks; no pairs are emitted.
+    band's asked lines are dealt to blocks of about TILE, as are all its lines, and a block of one kind meets one of the
+    other in a task. However many lines a document has at a place, no task holds more than two blocks; no pairs are
+    emitted, and bands without asked lines go first.
     """
-    band = F.floor(F.log(F.length("text")) / F.log(F.lit(SPREAD)) - F.lit(1e-9)).cast("int")
+    key = ["doc", "place", "cell"]
+    band = F.floor(F.log(_size()) / F.log(F.lit(SPREAD)) - F.lit(1e-9)).cast("int")
     lines = weighted.withColumn("band", band).withColumn("cell", F.explode(F.array(F.col("band"), F.col("band") - 1)))
-    sizes = lines.groupBy("doc", "place", "cell").agg(F.ceil(F.count(F.lit(1)) / TILE).cast("int").alias("blocks"), F.count(F.lit(1)).alias("lines")).where("lines > 1").drop("lines")
-    dealt = lines.join(sizes, ["doc", "place", "cell"]).withColumn("block", F.pmod(F.xxhash64("text"), F.col("blocks")).cast("int"))
-    met = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    met = met.select("doc", "place", "cell", "band", "text", "n", "block", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"))
+    blocks = lambda number: F.ceil(number / TILE).cast("int")
+    sizes = lines.groupBy(*key).agg(blocks(F.count(F.lit(1))).alias("blocks"), blocks(F.count_if("asked")).alias("askers"), F.count(F.lit(1)).alias("lines")).where("askers > 0 AND lines > 1").drop("lines")
+    dealt = lines.join(sizes, key).withColumn("h", F.xxhash64("text"))
+    every = lambda n: F.explode(F.sequence(F.lit(0), n - 1))
+    own = lambda n: F.pmod(F.col("h"), n).cast("int")
+    columns = [*key, "band", "text", "n", "asked", "asker", "block"]
+    asking = dealt.where("asked").withColumn("asker", own(F.col("askers"))).withColumn("block", every(F.col("blocks"))).select(*columns)
+    met = dealt.withColumn("asked", F.lit(False)).withColumn("block", own(F.col("blocks"))).withColumn("asker", every(F.col("askers"))).select(*columns)
     schema = f"doc {weighted.schema['doc'].dataType.simpleString()}, place string, text string, more long"
-    return met.groupBy("doc", "place", "cell", "lo", "hi").applyInPandas(_compared, schema).groupBy("doc", "place", "text").agg(F.sum("more").alias("more"))
+    return asking.unionByName(met).groupBy(*key, "asker", "block").applyInPandas(_compared, schema).groupBy("doc", "place", "text").agg(F.sum("more").alias("more"))
 
 
-def votes(edges: DataFrame, pages: DataFrame, fuzzy: bool = True) -> DataFrame:
+def votes(edges: DataFrame, pages: DataFrame, fuzzy: bool = True, every: bool = True) -> DataFrame:
     """(doc, place, text, votes, needed): on how many pages a line is at a place, alike ones counted together if fuzzy.
 
     Lines are made distinct within a document and place first and weighted by their pages, so pages that all have the
-    same footer compare once. Lines that begin with an image's placeholder have no vote.
+    same footer compare once. Lines that begin with an image's placeholder have no vote. Not every: lines that cannot
+    have as many votes as needed, by the lengths of all lines at their place, are left out and compared with none.
     """
     clean = edges.withColumn("text", F.trim("line")).where((F.col("text") != "") & ~F.col("text").startswith(PLACEHOLDER))
     weighted = clean.groupBy("doc", "place", "text").agg(F.countDistinct("page").alias("n"))
@@ -90,7 +118,8 @@ def votes(edges: DataFrame, pages: DataFrame, fuzzy: bool = True) -> DataFrame:
     needed = F.greatest(F.lit(2), F.floor(F.col("pages") * RATIO)).cast("long")
     if fuzzy:
         weighted = weighted.join(total.select("doc"), "doc", "left_semi")
-        weighted = weighted.join(_alike_pages(weighted), ["doc", "place", "text"], "left").withColumn("n", F.col("n") + F.coalesce("more", F.lit(0)))
+        weighted = weighted.withColumn("asked", F.lit(True)) if every else _reachable(weighted, total.withColumn("needed", needed))
+        weighted = weighted.where("asked").join(_alike_pages(weighted), ["doc", "place", "text"], "left").withColumn("n", F.col("n") + F.coalesce("more", F.lit(0)))
     return weighted.join(total, "doc").select("doc", "place", "text", F.col("n").alias("votes"), needed.alias("needed"))
 
 
@@ -100,7 +129,7 @@ def strip_headers(pages: DataFrame, fuzzy: bool = True) -> DataFrame:
     Documents of fewer than three pages stay as they are.
     """
     edges = edge_lines(pages)
-    often = votes(edges, pages, fuzzy).where(F.col("votes") >= F.col("needed")).select("doc", "place", "text")
+    often = votes(edges, pages, fuzzy, every=False).where(F.col("votes") >= F.col("needed")).select("doc", "place", "text")
     long = pages.groupBy("doc").agg(F.countDistinct("page").alias("pages")).where(F.col("pages") >= MIN_PAGES).select("doc")
     marked = edges.withColumn("text", F.trim("line"))
     number = marked.where(F.col("text").rlike(r"^[0-9]+$")).join(long, "doc", "left_semi").select("doc", "page", "line_no")

@@ -20,3 +20,20 @@ def test_phrases_after_other_alphabets(spark, tmp_path):
     spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
     got, want = against_sql(spark, tmp_path, "phrase_df")
     assert got == want and ((1, "Abc Def") in got)
+
+
+def test_fuzzy_headers_compare_only_lines_that_can_win(spark, monkeypatch):
+    """Lines of very different lengths, as paragraphs have, cannot have enough votes, so no two of them are compared."""
+    from granary.operators import headers
+
+    fill = lambda p, k: "abcdefghij"[k % 10] * (3 + 9 * ((p * 7 + k) % 40))
+    rows = [("d", p, "\n".join([f"\tReport page {p}" if p % 4 else f"Report page {p}  ", *(fill(p, k) for k in range(1, 9)), f"-- version v{p} of it --"])) for p in range(60)]
+    pages = spark.createDataFrame(rows, "doc string, page long, text string")
+    edges = headers.edge_lines(pages)
+    every = {(v.doc, v.place, v.text): v.votes for v in headers.votes(edges, pages).collect()}
+    some = {(v.doc, v.place, v.text): v.votes for v in headers.votes(edges, pages, every=False).collect()}
+    assert all(every[k] == n for k, n in some.items()) and {k for k, n in every.items() if n >= 42} <= set(some)
+    assert {k[1] for k in some} == {"h1", "f1"} and {k[1] for k in every} > {"h1", "f1"}
+    assert {k: n for k, n in some.items() if k[1] == "h1"} == {("d", "h1", t.split("\n")[0].strip(" ")): 60 for _, _, t in rows}
+    out = {r.page: r.text for r in headers.strip_headers(pages).collect()}
+    assert out == {p: "\n".join(t.split("\n")[1:-1]) for _, p, t in rows}
