@@ -37,3 +37,20 @@ def test_fuzzy_headers_compare_only_lines_that_can_win(spark, monkeypatch):
     assert {k: n for k, n in some.items() if k[1] == "h1"} == {("d", "h1", t.split("\n")[0].strip(" ")): 60 for _, _, t in rows}
     out = {r.page: r.text for r in headers.strip_headers(pages).collect()}
     assert out == {p: "\n".join(t.split("\n")[1:-1]) for _, p, t in rows}
+
+
+def test_conflicts_of_a_title_that_many_have(spark, monkeypatch):
+    """A key's pairs are made by many tasks, whatever its documents take in bytes."""
+    from pyspark.sql import functions as F
+
+    from granary.operators import ingest
+
+    monkeypatch.setattr(ingest, "BLOCK", 16)
+    rows = [(f"{'P' if i % 5 else 'p'}{i // 2}", f"h{i % 9}", "Same" if i < 150 else ("" if i < 160 else None), f"v{i % 3}" if i % 4 else None, str(i % 2)) for i in range(170)]
+    docs = spark.createDataFrame(rows, "path string, hash string, title string, framework string, revision string")
+    got = ingest.conflicts(docs, docs.withColumn("title", F.upper("title")))
+    differ = lambda a, b: bool(a) and bool(b) and a != b
+    want = [(a[0], rule, b[0]) for a in rows for b in rows for rule, is_so in (("duplicate", a[1] == b[1] and a[0].lower() != b[0].lower()), ("version", bool(a[2]) and a[2] == b[2] and differ(a[3], b[3])), ("revision", a[0].lower() == b[0].lower() and differ(a[4], b[4]))) if is_so]
+    assert sorted(map(tuple, got.collect())) == sorted(want)
+    version = got.where("rule = 'version'").groupBy(F.spark_partition_id()).count().collect()
+    assert len(version) > 4 and max(v["count"] for v in version) < 0.7 * sum(v["count"] for v in version)
