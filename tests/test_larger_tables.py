@@ -54,3 +54,22 @@ def test_conflicts_of_a_title_that_many_have(spark, monkeypatch):
     assert sorted(map(tuple, got.collect())) == sorted(want)
     version = got.where("rule = 'version'").groupBy(F.spark_partition_id()).count().collect()
     assert len(version) > 4 and max(v["count"] for v in version) < 0.7 * sum(v["count"] for v in version)
+
+
+def test_search_reads_texts_where_they_are(spark):
+    """Without postings few queries find the same, and neither texts nor postings are shuffled."""
+    from granary.operators import retrieval
+
+    rows = [(i, f"Foo.Bar{i % 3} word{i % 7} the_anchor common {'rare_one ' * (i < 5)}long{i % 11}word say {i % 2} times" if i % 13 else "") for i in range(140)]
+    chunks = spark.createDataFrame(rows, "id long, search_text string")
+    vectors = spark.createDataFrame([(i, [float(i % 5), 1.0]) for i in range(0, 140, 2)], "id long, dense array<double>")
+    asked = ["common rare_one long1word", "the_anchor common", "Foo.Bar1 word3", "rare_one Foo.Bar0 the_anchor", "nowhere at_all", "word3 the_anchor common", ""]
+    queries = spark.createDataFrame([(q, t, t, [float(q), 1.0]) for q, t in enumerate(asked)], "qid long, query string, sparse_query string, qvec array<double>")
+    posts = retrieval.occurrences(chunks)
+    got = lambda df: sorted(map(tuple, df.select("qid", "id", "score", "rank").collect()))
+    exact, anchor = (lambda p: retrieval.exact_channel(p, chunks, vectors, queries, 4)), (lambda p: retrieval.anchor_channel(p, vectors, queries, 4, chunks=chunks))
+    for run in (exact, anchor, lambda p: retrieval.sparse_channel(p, chunks, queries, 4), lambda p: retrieval.exact_channel(p, chunks, vectors, queries, 500, exhaustive=True)):
+        assert got(run(None)) == got(run(posts)) != []
+    assert {q for q, *_ in got(anchor(None))} == {0, 2, 3}
+    plan = retrieval.containing(None, chunks, queries)._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange hash" not in plan and "Size" not in plan and plan.count("regexp_extract_all") == 1
