@@ -142,7 +142,10 @@ def without_covered(blocks: DataFrame, tables: DataFrame, least: float = 0.5) ->
     """Text blocks (page, x0, y0, x1, y1) that no table rectangle of the page covers by at least half, in reading order."""
     from granary.functions.text import rect_overlap
 
-    b, t = blocks.alias("b"), tables.alias("t")
+    # Equal rectangles are compared once, however many a page has.
+    place = ["page", "x0", "y0", "x1", "y1"]
+    b, t = blocks.select(*place).distinct().alias("b"), tables.select(*place).distinct().alias("t")
     over: Column = rect_overlap(*[F.col(f"t.{c}") for c in ("x0", "y0", "x1", "y1")], *[F.col(f"b.{c}") for c in ("x0", "y0", "x1", "y1")])
-    kept = b.join(t, (F.col("b.page") == F.col("t.page")) & (over >= least), "left_anti")
+    covered = b.join(t, (F.col("b.page") == F.col("t.page")) & (over >= least), "left_semi")
+    kept = blocks.join(covered, place, "left_anti").select(*blocks.columns)
     return kept.withColumn("reading_order", F.row_number().over(Window.partitionBy("page").orderBy("y0", "x0", *(["id"] if "id" in blocks.columns else []))))

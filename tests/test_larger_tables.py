@@ -73,3 +73,14 @@ def test_search_reads_texts_where_they_are(spark):
     assert {q for q, *_ in got(anchor(None))} == {0, 2, 3}
     plan = retrieval.containing(None, chunks, queries)._jdf.queryExecution().executedPlan().toString()
     assert "Exchange hash" not in plan and "Size" not in plan and plan.count("regexp_extract_all") == 1
+
+
+def test_equal_rectangles_are_compared_once(spark):
+    from granary.operators import headers
+
+    columns = "id long, page long, x0 double, y0 double, x1 double, y1 double"
+    blocks = spark.createDataFrame([(i, i % 2, 0.0, float(i % 3), 2.0, i % 3 + 1.0) for i in range(60)] + [(60, 0, None, 0.0, 2.0, 1.0)], columns)
+    tables = spark.createDataFrame([(i, 0, 0.0, 0.0, 1.0, 1.0) for i in range(50)], columns)
+    out = headers.without_covered(blocks, tables)
+    assert {v.id for v in out.collect()} == {i for i in range(60) if i % 2 or i % 3} | {60}
+    assert out.columns == ["id", "page", "x0", "y0", "x1", "y1", "reading_order"]
