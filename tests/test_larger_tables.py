@@ -84,3 +84,16 @@ def test_equal_rectangles_are_compared_once(spark):
     out = headers.without_covered(blocks, tables)
     assert {v.id for v in out.collect()} == {i for i in range(60) if i % 2 or i % 3} | {60}
     assert out.columns == ["id", "page", "x0", "y0", "x1", "y1", "reading_order"]
+
+
+def test_words_are_hashed_once(monkeypatch):
+    import numpy as np
+
+    from granary.functions import embedding
+
+    seen, digest = [], embedding.xxhash.xxh64_intdigest
+    monkeypatch.setattr(embedding.xxhash, "xxh64_intdigest", lambda part: seen.append(part) or digest(part))
+    out = embedding.hashed(["rail Rail belt", "belt belt rail", None])
+    assert len(seen) == len(set(seen)) and not out[2].any()
+    monkeypatch.setattr(embedding, "WORDS_KNOWN", 1)
+    assert np.array_equal(embedding.hashed(["rail Rail belt", "belt belt rail", None]), out)
