@@ -75,6 +75,19 @@ def test_search_reads_texts_where_they_are(spark):
     assert "Exchange hash" not in plan and "Size" not in plan and plan.count("regexp_extract_all") == 1
 
 
+def test_terms_are_counted_where_the_texts_are(spark):
+    from granary.operators import retrieval, terms
+
+    chunks = spark.createDataFrame([(1, "a b A"), (2, "b"), (3, None), (4, "")], "id long, search_text string")
+    counts = retrieval.term_counts(chunks)
+    assert counts._jdf.queryExecution().executedPlan().toString().count("Exchange") == 1
+    assert sorted(map(tuple, counts.collect())) == [("a", 1, 2), ("b", 2, 2)]
+    docs = spark.createDataFrame([(1, "Foo x Foo"), (2, "Foo"), (3, None)], "doc long, text string")
+    assert sorted(map(tuple, terms.token_df(docs).collect())) == [("Foo", 2, 1), ("x", 1, 1)]
+    assert terms.token_df(docs)._jdf.queryExecution().executedPlan().toString().count("Exchange") == 1
+    assert sorted(map(tuple, terms.token_df(docs.union(docs)).collect())) == [("Foo", 2, 1), ("x", 1, 1)]
+
+
 def test_equal_rectangles_are_compared_once(spark):
     from granary.operators import headers
 
